@@ -111,7 +111,7 @@ def key_column(tenants: dict[str, str], url: Column, domain: Column) -> Column:
     def keys(urls: pd.Series, domains: pd.Series) -> pd.Series:
         return pd.Series([company_key(u, tenants) or company_key(d, tenants) for u, d in zip(urls, domains)], dtype=object)
 
-    return keys(url, domain)
+    return keys.asNondeterministic()(url, domain)  # so that a filter on the key does not compute it again
 
 
 def first_ids(rows: DataFrame) -> DataFrame:
