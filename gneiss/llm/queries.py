@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import plan_canonical, plan_history, plan_leaks, plan_sentences, plan_tokens
+from gneiss.llm import plan_canonical, plan_history, plan_leaks, plan_pages, plan_sentences, plan_tokens
 
-MODULES = (plan_tokens, plan_history, plan_canonical, plan_leaks, plan_sentences)
+MODULES = (plan_tokens, plan_history, plan_canonical, plan_leaks, plan_sentences, plan_pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
