@@ -18,21 +18,26 @@ class Boosted:
     def depth(self) -> int:
         return int(self.leaf.shape[1]).bit_length() - 1
 
-    def bins(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty(x.shape, np.uint8)
-        for j, e in enumerate(self.edges):
-            out[:, j] = np.searchsorted(e, x[:, j], "right")
+    def bins(self, x: np.ndarray, wanted: list[int] | None = None) -> np.ndarray:
+        """Bins of all or the wanted features."""
+        wanted = range(len(self.edges)) if wanted is None else wanted
+        out = np.empty((len(x), len(wanted)), np.uint8)
+        for k, j in enumerate(wanted):
+            out[:, k] = np.searchsorted(self.edges[j], x[:, j], "right")
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of each row."""
-        b = self.bins(x)
+        used = np.unique(self.feature)
+        place = np.zeros(len(self.edges), np.int64)
+        place[used] = np.arange(len(used))
+        b = self.bins(x, used.tolist())
         out = np.full(len(b), self.base, np.float32)
         if not len(b):
             return out
         rows = np.arange(len(b)) * b.shape[1]
         flat = b.ravel()
-        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
+        for feature, cut, leaf in zip(place[self.feature], self.cut, self.leaf):
             node = np.zeros(len(b), np.int64)
             for _ in range(self.depth):
                 node = 2 * node + 1 + (flat[rows + feature[node]] > cut[node])

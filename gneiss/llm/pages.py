@@ -13,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +31,28 @@ KINDS = ("menu", "foot", "side", "teaser", "text", "list", "rest")
 #: Distinct lines that a worker remembers; beyond it the table starts anew.
 LINES_KEPT = 60_000
 
-_TOKEN = re.compile(r"\d+|[^\W\d_぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]|[|>·•/›»«\[\]©@%&]").findall
-_STOP = re.compile(r"[.!?。！？]")
+_TOKEN = re.compile(r"0|[^\W\d_぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]|[|>·•/›»«\[\]©@%&]").findall
+_STOPS = ".!?。！？"
 _STOPS_AT_END = re.compile(r"[.!?。！？…][\"»”“」』)）'’\s]*$").search
-_SEPARATOR = re.compile(r"[|>·/›]")
-_DIGIT = re.compile(r"\d")
+_SEPARATORS = "|>·/›"
+_DIGITS = re.compile(r"\d+")
 _BULLET = re.compile(r"[-•・*–] ?")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿]")
 SHAPE = 13
 
 
+def _count(line: str, marks: str) -> int:
+    return sum([line.count(m) for m in marks])
+
+
 def shape(line: str) -> tuple:
     """What a line in its one form shows by itself."""
     n = len(line)
     wide = len(_UNSPACED.findall(line)) if not line.isascii() else 0
     first = line[:1]
     return (
-        n + wide, line.count(" ") + 1, bool(_STOPS_AT_END(line)), len(_STOP.findall(line)), bool(_BULLET.match(line)), len(_SEPARATOR.findall(line)),
-        len(_DIGIT.findall(line)), first.islower(), first.isdigit(), line.isupper(), wide > 0, line_kind(line), "@" in line or "www." in line,
+        n + wide, line.count(" ") + 1, bool(_STOPS_AT_END(line, max(0, n - 12))), _count(line, _STOPS), bool(_BULLET.match(line)), _count(line, _SEPARATORS),
+        _count(line, "0123456789"), first.islower(), first.isdigit(), line.isupper(), wide > 0, line_kind(line), "@" in line or "www." in line,
     )
 
 
@@ -56,7 +61,8 @@ class PageReader:
 
     def __init__(self, model: dict):
         self.vocabulary: dict[str, int] = {t: i for i, t in enumerate(model["tokens"])}
-        self.scores = np.array(model["scores"], np.float32).reshape(len(self.vocabulary), len(KINDS))
+        scores = np.array(model["scores"], np.float32).reshape(len(self.vocabulary), len(KINDS))
+        self.scores = np.vstack([scores, np.zeros((1, len(KINDS)), np.float32)])  # the last row is for unknown tokens
         self.line_model = Boosted.load(model["lines"]) if "lines" in model else None
         self.block_model = Boosted.load(model["blocks"]) if "blocks" in model else None
         self.form = Transducer().one_form
@@ -73,7 +79,7 @@ class PageReader:
 
     def tokens(self, line: str) -> list[str]:
         """Attribute tokens: words and characters, with the first, the last and the whole line marked."""
-        found = ["0" if t[0].isdigit() else t for t in _TOKEN(line)]
+        found = _TOKEN(_DIGITS.sub("0", line))
         if found:
             found += ["^" + found[0], found[-1] + "$"]
             if len(found) <= 14:
@@ -82,19 +88,21 @@ class PageReader:
 
     def _learn(self, lines: list[str]) -> None:
         """Local features of lines not met before."""
-        get = self.vocabulary.get
+        get, unknown = self.vocabulary.get, repeat(len(self.vocabulary))
         ids: list[int] = []
         ends = np.zeros(len(lines), np.int64)
         shapes = np.zeros((len(lines), SHAPE), np.float32)
         for i, raw in enumerate(lines):
             line = self.form(raw.replace("�", ""))
             shapes[i] = shape(line)
-            ids += [n for t in self.tokens(line) if (n := get(t)) is not None]
+            ids.extend(map(get, self.tokens(line), unknown))
             ends[i] = len(ids)
-        table = np.vstack([self.scores[np.array(ids, np.int64)], np.zeros((1, len(KINDS)), np.float32)])
-        sizes = np.diff(ends, prepend=0)
-        sums = np.add.reduceat(table, np.minimum(np.concatenate([[0], ends[:-1]]), len(table) - 1), axis=0) if len(lines) else np.zeros((0, len(KINDS)), np.float32)
-        sums[sizes == 0] = 0
+        ids.append(len(self.vocabulary))
+        codes = np.array(ids, np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        sums = np.add.reduceat(self.scores[codes], starts, axis=0)
+        sizes = np.add.reduceat((codes < len(self.vocabulary)).astype(np.int64), starts)
+        sums[ends == starts], sizes[ends == starts] = 0, 0
         means = sums / np.maximum(sizes, 1)[:, None]
         self.local = np.vstack([self.local, np.hstack([shapes, means, sums[:, [4]], sizes[:, None]]).astype(np.float32)])
 

@@ -107,11 +107,20 @@ def _filler(line: str, low: str) -> int:
     if _MASHED.fullmatch(low):
         return FILLER
     words = _WORD.findall(low)
-    if len(words) >= 3 and sum(w in PSEUDO_LATIN for w in words) >= 0.7 * len(words):
+    if len(words) >= 3 and not PSEUDO_LATIN.isdisjoint(words) and sum(w in PSEUDO_LATIN for w in words) >= 0.7 * len(words):
         return FILLER
     return NONE
 
 
+def _sentences(line: str):
+    """Sentences one by one, as the first that is content ends the search."""
+    at = 0
+    for m in _SPLIT.finditer(line):
+        yield line[at : m.start()]
+        at = m.end()
+    yield line[at:]
+
+
 def line_kind(line: str) -> int:
     """Kind of residue that a line in its one form is; NONE for boilerplate and content."""
     if not line:
@@ -126,7 +135,7 @@ def line_kind(line: str) -> int:
     if len(line) > 400:
         return NONE
     kind = NONE
-    for sentence in _SPLIT.split(_NUMBERED.sub("", low)):
+    for sentence in _sentences(_NUMBERED.sub("", low)):
         bare = sentence.strip(" .!?。！？;…")
         if not bare:
             continue
