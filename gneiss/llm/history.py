@@ -29,7 +29,7 @@ _AUTHORITY_END = re.compile(r"[/?#\\]")
 _HYPHENS = re.compile("[-­֊‐-―−⸺⸻﹘﹣－]")
 _DOTS = re.compile("[。．｡]")
 _BAD_HOST = re.compile(r"[\s\x00-\x20/\\@:\[\]<>\"]")
-_TRIM = "".join(map(chr, range(33))) + "\x7f\x85\xa0            ​    ⁠　﻿"
+_TRIM = "".join(map(chr, range(33))) + "\x7f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200E))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 def split_address(address: str) -> tuple[str, str] | None:
