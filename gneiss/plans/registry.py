@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators.nested import last_field
-from gneiss.plans import nested
+from gneiss.plans import leads, nested
 
-MODULES = (nested,)
+MODULES = (nested, leads)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
