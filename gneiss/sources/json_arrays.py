@@ -28,7 +28,7 @@ def json_elements(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    array = F.from_json(F.regexp_replace("value", "^﻿", ""), "array<string>")
+    array = F.from_json(F.regexp_replace("value", "^\ufeff", ""), "array<string>")
     checked = F.when(array.isNull() & F.col("value").isNotNull(), F.raise_error(F.lit("not a JSON array"))).otherwise(array)
     return rows.select("file_ordinal", F.posexplode(checked).alias("pos", "element"))
 
@@ -52,7 +52,7 @@ def candidate_list(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
 def csv_rows(spark: SparkSession, path: str, required: str) -> DataFrame:
     """Rows of a quoted CSV file with or without a byte-order mark; rows without a value in ``required`` are dropped."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    df = df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    df = df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
     return df.where(F.col(f"`{required}`").isNotNull() & (F.col(f"`{required}`") != ""))
 
 

@@ -42,7 +42,7 @@ def test_identity_columns(spark):
 
 
 def test_text_columns(spark):
-    rows = [("a&amp;b​ \x1f　c",), ("�" * 4 + "x" * 50,), ("x" * 400 + "�" * 8,), (None,), ("",), ("Mail A@B.co, a@b.co; c@d.example!",)]
+    rows = [("a&amp;b\u200b \x1f\u3000c\ue000",), ("�" * 4 + "x" * 50,), ("x" * 400 + "�" * 8,), (None,), ("",), ("Mail A@B.co, a@b.co; c@d.example!",)]
     df = spark.createDataFrame(rows, "t string")
     t = F.col("t")
     got = df.select(T.unescaped(t), T.corrupt(t), T.emails(t), T.mentions(t, ["MAIL", " "]), T.needs_scripts(t)).collect()

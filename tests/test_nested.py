@@ -17,7 +17,7 @@ def brute(text):
         if isinstance(value, str):
             if "{" in value:
                 try:
-                    walk(json.loads(value.lstrip("﻿")), path, role)
+                    walk(json.loads(value.lstrip("\ufeff")), path, role)
                 except ValueError:
                     pass
         elif isinstance(value, dict):
@@ -32,7 +32,7 @@ def brute(text):
                 walk(x, f"{path}[{i}]", 1)
 
     try:
-        walk(json.loads(text.lstrip("﻿")), "", 0)
+        walk(json.loads(text.lstrip("\ufeff")), "", 0)
     except ValueError:
         pass
     return out
@@ -44,7 +44,7 @@ ODD = [
     '[{"s":"\\u00e9"}]', '[{"s":"\\u00g9"}]', '[{"a":01}]', '[{"a":NaN}]', '[{"a":tru}]', '{"\\u0063laims":{"x":1}}',
     '{"claims":"{\\"hints\\":{\\"z\\":1}}"}', '{"claims":["{\\"sources\\":[{}]}","x",null,"[{}]"]}', "\\", '"\\',
     '[{"x":"a\\\\"},{"y":"\\\\\\""}]', '[{"é":[{"日本":[{}]}]}]', '[{"a":"}"},{"b":"]["}]', "]", "[}", "{1:2}", '{"a"}',
-    '{"a":}', "{,}", "[,]", "[{} {}]", '{"a":1 "b":2}', '﻿{"claims":[{}]}', '[{"a":1e5},{"b":-0.5E+3}]',
+    '{"a":}', "{,}", "[,]", "[{} {}]", '{"a":1 "b":2}', '\ufeff{"claims":[{}]}', '[{"a":1e5},{"b":-0.5E+3}]',
 ]
 
 

@@ -122,7 +122,7 @@ def test_search(spark):
 
 
 def test_readers_and_writers(spark, tmp_path):
-    (tmp_path / "a.json").write_text('﻿["x.example", {"url":"https://y.example","priority":3}, {"url":"https://z:tel"}, {"priority":true}]', encoding="utf-8")
+    (tmp_path / "a.json").write_text('\ufeff["x.example", {"url":"https://y.example","priority":3}, {"url":"https://z:tel"}, {"priority":true}]', encoding="utf-8")
     (tmp_path / "b.json").write_text('[{"url":"w.example","priority":"2.5"}]')
     elements = J.json_elements(spark, [str(tmp_path / "b.json"), str(tmp_path / "a.json")])
     good, bad = J.candidate_list(elements)
