@@ -26,7 +26,7 @@ from gneiss.session import cut_lineage, shared_dir
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:(?=//)")
 _NO_HOST = re.compile(r"(?:mailto|tel|javascript|data|about|urn):", re.I)
 _AUTHORITY_END = re.compile(r"[/?#\\]")
-_HYPHENS = re.compile("[-­֊‐-―−⸺⸻﹘﹣－]")
+_HYPHENS = re.compile("[-\u00ad֊‐-―−⸺⸻﹘﹣－]")
 _DOTS = re.compile("[。．｡]")
 _BAD_HOST = re.compile(r"[\s\x00-\x20/\\@:\[\]<>\"]")
 _TRIM = "".join(map(chr, range(33))) + "\x7f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200E))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"

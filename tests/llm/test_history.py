@@ -12,7 +12,7 @@ TENANTS = {"pages.host.example": "", "sites.host.example": "~", "town.hostnet.ex
     "address,host",
     [
         ("https://www.A-b.Example./x?y#z", "ab.example"), ("HTTP://u:p@ａｂ．example:443/", "ab.example"), ("ab.example", "ab.example"),
-        ("\t　//ab.example:/x ", "ab.example"), ("ab.example\\x", "ab.example"), ("https://ab.example:tel/", None), ("tel:000-5550", None),
+        ("\t\u3000//ab.example:/x ", "ab.example"), ("ab.example\\x", "ab.example"), ("https://ab.example:tel/", None), ("tel:000-5550", None),
         ("mailto:me@ab.example", None), ("https://", None), ("n/a", None), ("", None), ("www.example", "www.example"), ("a b.example", None), ("a..example", None),
     ],
 )

@@ -33,9 +33,9 @@ def test_languages(model, sentences):
 
 
 def test_layout(model):
-    text = "  Heading of a page \r\n \r\n1. First item\n\n- 45 cases, Fresh\n　\nOne line\nbroken. Next one.\n\n\n"
+    text = "  Heading of a page \r\n \r\n1. First item\n\n- 45 cases, Fresh\n\u3000\nOne line\nbroken. Next one.\n\n\n"
     assert [text[a:b] for a, b in model.units(text)] == ["Heading of a page", "1. First item", "- 45 cases, Fresh", "One line\nbroken.", "Next one."]
-    assert model.units("") == model.units(" \n\r\n　") == []
+    assert model.units("") == model.units(" \n\r\n\u3000") == []
     assert list(blocks("a\r\nb")) == [(0, 4)]
 
 
