@@ -42,7 +42,7 @@ SHAPE = 13
 
 
 def _count(line: str, marks: str) -> int:
-    return sum([line.count(m) for m in marks])
+    return sum(map(line.count, marks))
 
 
 def shape(line: str) -> tuple:

@@ -101,13 +101,17 @@ def _placeholders(line: str) -> int:
 
 
 def _filler(line: str, low: str) -> int:
-    m = _REPEATED.fullmatch(low)
+    words = low.split()
+    # A unit that stands three times has a third of the words; scripts without spaces are one word.
+    m = _REPEATED.fullmatch(low) if len(words) < 6 or 2 * len(set(words)) <= len(words) else None
     if m and _WORD.search(m[1]) and not _STOPPED.search(m[1]) and not m[1].strip().isdigit() and m[1].startswith(m[2].rstrip(" .…")) and (len(m[1]) > 1 or len(low) > 5):
         return FILLER
     if _MASHED.fullmatch(low):
         return FILLER
+    if len(words) < 3 or PSEUDO_LATIN.isdisjoint(words):
+        return NONE
     words = _WORD.findall(low)
-    if len(words) >= 3 and not PSEUDO_LATIN.isdisjoint(words) and sum(w in PSEUDO_LATIN for w in words) >= 0.7 * len(words):
+    if sum(w in PSEUDO_LATIN for w in words) >= 0.7 * len(words):
         return FILLER
     return NONE
 
