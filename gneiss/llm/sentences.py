@@ -205,7 +205,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
             speech = bool(SPEECH.search(clause)) and text[end + len(clause) : end + len(clause) + 1] not in (":", "：")
         shape = mark if len(mark) == 1 else "..." if set(mark) <= {".", "…"} else mark[-1] + "+"
         found.append(Candidate(end, shape, before, after, second, spaced, quote, speech, cased))
-        if not quote or quote[1] == "0" and not speech:
+        if not quote or quote[1] in "0:," and not speech and not (cased and after[:1].islower()):
             begun = end
     return found
 

@@ -82,6 +82,8 @@ def label(texts: list[str]):
         if c.quote:
             if c.speech and c.quote[1] == "0" or c.quote == "qx" or c.quote[0] == "b" and c.quote[1] != "0":
                 rows.append((c, 0))
+            elif c.quote == "b0" or c.quote == "q0" and _case(c.after)[-1] == "c":
+                rows.append((c, 1))  # stands alone; in a script without spaces a word of speech would follow at once
             elif starts[a] or not no_start:
                 rows.append((c, 1))
             else:
