@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators.nested import child_table, nested_objects
-from gneiss.session import table
+from gneiss.session import spread, table
 
 SOURCES = (("records", "record_id", "record_json"), ("candidates", "candidate_id", "payload_json"))
 
 
 def _objects(spark: SparkSession, sf_dir: str, with_json: bool = False) -> DataFrame:
     parts = [
-        nested_objects(table(spark, sf_dir, name), key, text, with_json=with_json).select(F.lit(name).alias("parent_table"), "*")
+        nested_objects(spread(table(spark, sf_dir, name).select(key, text)), key, text, with_json=with_json).select(F.lit(name).alias("parent_table"), "*")
         for name, key, text in SOURCES
     ]
     return parts[0].unionByName(parts[1])

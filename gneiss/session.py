@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for work that is heavy on CPU: as it is, or shuffled to all cores where it comes from fewer files than there are cores.
+
+    A small table in one row group is read by one task, whatever splits the scan shows. Large inputs
+    have many splits and are left alone before their files are even counted.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 4 * cores or len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
