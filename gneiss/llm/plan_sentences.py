@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.llm.sentences import split_sentences
-from gneiss.session import table
+from gneiss.session import spread, table
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return split_sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 QUERIES = {"p8_found": p8_found}
