@@ -44,8 +44,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; for a scan it is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
