@@ -42,7 +42,9 @@ _HAS_WIDE = re.compile("[！-～]").search
 _UNSPACED = re.compile("[\u3005\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f]")
 _THAI = re.compile("[฀-๿]")
 _EVENT = re.compile(r"[.!?…。！？؟۔।॥｡‼⁇⁈⁉]+|[()\[\]（）［］【】〔〕「」『』《》〈〉«»“”„\"｢｣]|(?<=[฀-๿])\s+")
-_TAIL = re.compile(r"[^\s]*$")
+_TAIL = re.compile(r"[^\s!?\"“”«»]*$")
+# A sentence that begins right after another's full stop.
+_STUCK = re.compile(r".*[a-zß-öø-ÿ]{3,}\.(?=[A-Z])")
 _HEAD = re.compile(r"\s*([^\s]*)(?:\s+([^\s]*))?")
 # A word with a capital that is no part of an address, or a lone capital word.
 _CAPITAL = re.compile(r"[^\W\d_a-zß-öø-ÿ](?:[a-zß-öø-ÿ]+(?![\w.]*\.\w)|(?=[’']?\s))")
@@ -125,7 +127,7 @@ def _before(text: str, lo: int, at: int) -> str:
     token = _TAIL.search(text, max(lo, at - 24), at)[0].lstrip(_OPENERS)
     if _UNSPACED.search(token[-1:]):
         return token[-2:]
-    return _DIGITS.sub("0", token)[-14:]
+    return _DIGITS.sub("0", _STUCK.sub("", token))[-14:]
 
 
 def _after(text: str, at: int, hi: int) -> tuple[str, str]:

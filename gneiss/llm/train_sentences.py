@@ -4,13 +4,15 @@ Reliable boundaries are those that the layout shows: a block that ends in a term
 followed by another block, is read as if a space joined them. Reliable non-boundaries are
 candidates whose token before the mark never ends a block, or whose next token never begins
 one, though each was seen often enough. Candidates of which both are certain the other way
-are boundaries; the rest is left out.
+are boundaries, and so are those of an ordinary word before a capital: one that often stands
+without a mark, or that is too long for an abbreviation. The rest is left out.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import re
 import sys
 from collections import Counter
 
@@ -22,6 +24,8 @@ from gneiss.llm.sentences import MODEL_PATH, TERMINALS, Candidate, _after, _befo
 DOCUMENTS = 10_000
 #: Sightings after which a token's habit counts as reliable, and the share below which it counts as never.
 SEEN, NEVER = 8, 0.02
+#: Letters from which a word is no abbreviation.
+LONG = 6
 EPOCHS, RATE, DECAY = 12, 0.2, 1e-6
 
 
@@ -72,8 +76,18 @@ def _never_ends(c: Candidate, ends: Counter, before: Counter) -> bool:
     return before[b] >= SEEN and ends[b] < NEVER * before[b]
 
 
+_PLAIN_WORD = re.compile(r"[^\W\d_]{2,}(?=[\s,;:])")
+
+
+def ordinary_words(texts: list[str], before: Counter) -> set[str]:
+    """Words that stand without a full stop at least SEEN times, and a third as often as with one."""
+    seen = Counter(w.lower() for t in texts for w in _PLAIN_WORD.findall(fold(t)))
+    return {w for w, n in seen.items() if n >= max(SEEN, before[w] / 3)}
+
+
 def label(texts: list[str]):
     ends, starts, before, after, pairs, inner = collect(texts)
+    ordinary = ordinary_words(texts, before)
     rows: list[tuple[Candidate, int]] = [(c, 1) for c in pairs]
     for c in inner:
         b, a = c.before.lower(), c.after if c.cased else ("", c.after.lower())
@@ -88,6 +102,8 @@ def label(texts: list[str]):
                 rows.append((c, 1))
             else:
                 rows.append((c, 0))
+        elif c.mark == "." and (c.before.lower() in ordinary or len(c.before) >= LONG and c.before.isalpha()) and _case(c.after)[-1] == "A":
+            rows.append((c, 1))
         elif c.mark == "." or c.mark == "...":
             if no_end or no_start or c.mark == "...":
                 rows.append((c, 0))
