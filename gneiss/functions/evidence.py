@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from math import perm
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Marks of navigation, prices, franchises, closures, and names of the market, case counting in the last.
@@ -42,35 +43,57 @@ def thin(quote: Column, keywords: Iterable[str], least_words: int) -> Column:
     return ~named | (words < least_words)
 
 
-def snippets_of(pages: list[tuple[str, str]], pattern: re.Pattern[str], limit: int, width: int) -> list[str]:
-    """One snippet a page, in page order, up to ``limit``; a snippet seen before makes the search go on in the page."""
+def snippets_of(pages: list[tuple[str, list[str]]], limit: int) -> list[str]:
+    """One snippet a page, in page order, up to ``limit``: the first of a page that no page gave before."""
     out: dict[str, str] = {}
-    for url, text in pages:
+    for url, around in pages:
         if len(out) == limit:
             break
-        around = (" ".join(text[max(0, m.start() - width) : m.end() + width].split()) for m in pattern.finditer(text))
         new = next((s for s in around if s not in out), None)
         if new is not None:
             out[new] = f"{url} …{new}…"
     return list(out.values())
 
 
+def _around(text: str, pattern: re.Pattern[str], limit: int, width: int) -> list[str]:
+    """The first ``limit`` different snippets of a text; no more can matter, as fewer than ``limit`` are taken elsewhere."""
+    found: dict[str, None] = {}
+    for m in pattern.finditer(text):
+        found[" ".join(text[max(0, m.start() - width) : m.end() + width].split())] = None
+        if len(found) == limit:
+            break
+    return list(found)
+
+
+def pages_that_matter(limit: int) -> int:
+    """How many of an owner's pages can be needed: ``limit`` that give a snippet, and those whose lists hold only snippets already taken."""
+    return limit + sum(k * perm(limit - 1, k) for k in range(1, limit))
+
+
 def keyword_snippets(pages: DataFrame, owner: str, order: str, keywords: Iterable[str], limit: int = 3, width: int = 90) -> DataFrame:
     """``owner, snippets``: up to ``limit`` snippets of an owner's pages around any of the keywords.
 
-    Only pages with a keyword are grouped, by a native filter; an owner's pages are few by crawl policy. Null texts have none.
+    Each page is cut to its own snippets first. Of pages with one list of snippets only as many matter as the list
+    is long, and of an owner's pages only ``pages_that_matter``; both ranks are cut before the shuffle, so an owner
+    with many pages costs no task more than another. Null texts have none.
     """
     terms = sorted({k.strip() for k in keywords if k and k.strip()}, key=lambda k: (-len(k), k))
     if not terms:
         raise ValueError("no keywords")
     found = re.compile("|".join(map(re.escape, terms)), re.I)
     native = "(?iu)" + "|".join(re.escape(t) for t in terms)
-    hits = pages.where(F.col("text").rlike(native)).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(order, "url", "text"))).alias("_pages"))
+    cut = F.pandas_udf(lambda texts: texts.map(lambda t: _around(t, found, limit, width)), "array<string>").asNondeterministic()
+    hits = pages.where(F.col("text").rlike(native)).select(owner, order, F.coalesce("url", F.lit("")).alias("url"), cut("text").alias("_around")).where(F.size("_around") > 0)
+    alike = F.row_number().over(Window.partitionBy(owner, "_around").orderBy(order, "url"))
+    hits = hits.withColumn("_alike", alike).where(F.col("_alike") <= limit)
+    nth = F.row_number().over(Window.partitionBy(owner).orderBy(order, "url"))
+    hits = hits.withColumn("_nth", nth).where(F.col("_nth") <= pages_that_matter(limit) * limit)
+    few = hits.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("_nth", "url", "_around"))).alias("_pages"))
 
     def run(groups: pd.Series) -> pd.Series:
-        return groups.map(lambda g: snippets_of([(p["url"] or "", p["text"]) for p in g], found, limit, width))
+        return groups.map(lambda g: snippets_of([(p["url"], list(p["_around"])) for p in g], limit))
 
-    return hits.select(owner, F.pandas_udf(run, "array<string>")("_pages").alias("snippets"))
+    return few.select(owner, F.pandas_udf(run, "array<string>")("_pages").alias("snippets"))
 
 
 def claim_texts(claims: DataFrame, owner: str, order: str) -> DataFrame:

@@ -52,8 +52,19 @@ def select_batch(df: DataFrame, priority: str, order: str, size: int) -> DataFra
 
 
 def positions(df: DataFrame, group: str, order: Sequence[str], name: str = "position") -> DataFrame:
-    """Place of each row in its group, from 1."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint"))
+    """Place of each row in its group, from 1; ``order`` is unique within a group.
+
+    Rows are range-partitioned by group and order, so a group of any size is shared by several tasks; what the
+    earlier ranges hold of a group is added from one count a range and group.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(ranges, group, *order).withColumn("_range", F.spark_partition_id()))
+    held = placed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_group").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_group", "_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
+    joined = placed.withColumn("_nth", nth).join(held, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_nth")).cast("bigint")).drop("_range", "_group", "_r", "_before", "_nth")
 
 
 def balanced_split(df: DataFrame, parts: int, order: str) -> DataFrame:

@@ -9,9 +9,11 @@ from gneiss.functions import evidence as E
 from gneiss.functions import text as T
 from gneiss.functions.html import parsed_page
 from gneiss.functions.url import plain_host, same_site_columns, url_identity, with_identity
+from gneiss.operators import checks as C
 from gneiss.operators import links as L
 from gneiss.operators import osm as O
 from gneiss.operators import relations as R
+from gneiss.operators.frontier import replay
 from gneiss.operators.nested import child_table, nested_objects
 from gneiss.operators.search import directory_like, ranked_results
 from gneiss.session import table
@@ -405,3 +407,44 @@ def osm_collapse(spark: SparkSession, sf: str) -> DataFrame:
     objects = nested_objects(table(spark, sf, "candidates"), "candidate_id", "payload_json", with_json=True)
     elements = child_table(objects, "osm_elements", "type string, id bigint, tags map<string,string>").withColumn("ord", F.struct("parent_id", "path"))
     return O.collapse(elements, O.parse_tags(["shop=tea", "shop=deli", "cuisine=japanese"])).select("company", "url", "name", "locations", "matched_tags")
+
+
+@query()
+def exclusion_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose exclusion checks are missing, repeated, unknown or without a result."""
+    objects = nested_objects(table(spark, sf, "records"), "record_id", "record_json", with_json=True)
+    checks = child_table(objects, "exclusion_checks", "type string, result string")
+    return C.required_set(checks, "parent_id", "type", "result", ["自社製造", "競合"], ["not_matched", "matched", "unclear"])
+
+
+@query(
+    """WITH r AS (SELECT canonical_url, evidence_text_ja AS reason FROM audit WHERE evidence_text_ja <> '' AND canonical_url IS NOT NULL), u AS (SELECT reason, count(*) AS n FROM r GROUP BY reason)
+    SELECT canonical_url, min(n) AS least_used FROM r JOIN u USING (reason) GROUP BY canonical_url HAVING min(n) >= 2"""
+)
+def boilerplate_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies all of whose explanations are used for other claims too."""
+    return C.all_reused(table(spark, sf, "audit").where("canonical_url IS NOT NULL"), "canonical_url", "evidence_text_ja", 2)
+
+
+@query(
+    r"""SELECT crawl_id, regexp_matches(text, '(?i)\bfranchis(?:e|ing|ee)\b|\bown a (?:franchise|location|store)\b') AS franchise,
+    regexp_matches(text, '(?i)permanently closed|we have closed|has closed its doors|closed for good|(?:café|cafe|shop|store) has closed|opening soon|now hiring for our opening') AS closure FROM crawls WHERE text IS NOT NULL"""
+)
+def page_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that speak of a franchise or a closure."""
+    return table(spark, sf, "crawls").where("text IS NOT NULL").select("crawl_id", *C.page_signals(F.col("text")))
+
+
+@query()
+def crawl_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounded crawls over the stored pages; each company's home page links to one page of each group of links."""
+    crawls = table(spark, sf, "crawls").where("url IS NOT NULL AND canonical_url IS NOT NULL").withColumn("key", url_identity(F.col("url"))["canonical"]).where("key IS NOT NULL")
+    newest = crawls.groupBy("key").agg(F.max_by(F.struct("url", "status_code"), "crawl_id").alias("p"))
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
+    grouped = crawls.select("canonical_url", "url", L.link_group(path, F.lit("")).alias("kind")).where("kind IS NOT NULL").groupBy("canonical_url", "kind").agg(F.min("url").alias("url"))
+    link = F.concat(F.lit('<a href="'), "url", F.lit('">page</a>'))
+    nav = grouped.groupBy("canonical_url").agg(F.array_join(F.sort_array(F.collect_list(link)), "").alias("nav"))  # one link a group
+    homes = crawls.select("canonical_url").distinct().withColumn("key", url_identity(F.col("canonical_url"))["canonical"]).where("key IS NOT NULL").join(nav, "canonical_url", "left")
+    pages = newest.join(homes.select("key", "nav").dropDuplicates(["key"]), "key", "left")
+    pages = pages.select(F.col("key").alias("url"), F.col("p.url").alias("final_url"), F.col("p.status_code").alias("status"), F.coalesce("nav", F.lit("")).alias("html"))
+    return replay(homes.select(F.col("canonical_url").alias("company"), F.col("canonical_url").alias("url")), pages).drop("contacts")

@@ -188,3 +188,47 @@ def test_spread(spark, tmp_path):
     one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
     assert spread(many) is many
+
+
+def test_positions_across_ranges(spark):
+    df = spark.createDataFrame([("hot" if i % 3 else f"g{i % 7}", i) for i in range(500)] + [(None, 1), (None, 2)], "g string, o int")
+    got = {(r.g, r.o): r.position for r in R.positions(df, "g", ["o"]).collect()}
+    groups = {}
+    for g, o in sorted(got, key=lambda x: (x[0] or "", x[1])):
+        groups.setdefault(g, []).append(o)
+    assert len(got) == 502 and all(got[g, o] == n + 1 for g, items in groups.items() for n, o in enumerate(items))
+
+
+def test_required_sets(spark):
+    from gneiss.operators import checks as C
+
+    df = spark.createDataFrame([(1, "a", "ok"), (1, "b", "no"), (2, "a", "ok"), (2, "a", "ok"), (2, "c", "ok"), (3, None, None), (4, "b", "odd"), (4, "a", None)], "k int, t string, r string")
+    got = rows(C.required_set(df, "k", "t", "r", ["a", "b"], ["ok", "no"]))
+    assert got == [(2, "a", "duplicate"), (2, "b", "missing"), (2, "c", "unknown"), (3, "a", "missing"), (3, "b", "missing"), (4, "a", "invalid"), (4, "b", "invalid")]
+    assert rows(C.all_reused(df, "k", "t", 3)) == [(1, 2), (4, 2)][:0] or rows(C.all_reused(df, "k", "t", 2)) == [(1, 2), (4, 2)]
+
+
+def test_link_functions_agree(spark):
+    links = [("/about", "x"), ("/menu/drinks", "Food"), ("/p", "How we use cookies"), ("/cookie-einstellungen", None), ("/agb", "contact"), ("/卸", ""), ("/x", None), ("/access", "アクセス")]
+    df = spark.createDataFrame(links, "p string, t string")
+    group = L.link_group(F.col("p"), F.col("t"))
+    got = [tuple(r) for r in df.select(group, F.when(group.isNotNull(), L.link_score(group, F.col("p"), F.col("t")))).collect()]
+    assert got == [(g, L.score_of(g, p, t) if g else None) for p, t in links for g in [L.group_of(p, t)]]
+
+
+def test_crawl_replay(spark):
+    from gneiss.operators.frontier import replay
+
+    home = '<a href="/about">About</a><a href="/contact">Contact</a><a href="/shop/products">Products</a><a href="https://forms.example/contact?x">Form</a><iframe src="/frame"></iframe><a href="/about">again</a>'
+    about = '<a href="/company/history">Company</a><a href="/agb">AGB</a>'
+    pages = [("https://a.example/", None, 200, home), ("https://a.example/about", "https://a.example/about", 200, about), ("https://a.example/company/history", None, 404, None),
+             ("https://a.example/frame", "https://other.example/", 200, ""), ("https://b.example/", "https://b.example/", 503, "")]
+    stored = spark.createDataFrame(pages, "url string, final_url string, status int, html string")
+    starts = spark.createDataFrame([("a", "a.example"), ("b", "https://b.example"), ("c", "https://c:tel"), ("d", "https://d.example")], "company string, url string")
+    got = rows(replay(starts, stored), "company", "attempt", "requested", "outcome")
+    assert got == [
+        ("a", 1, "https://a.example/", "page"), ("a", 2, "https://a.example/about", "page"), ("a", 3, "https://a.example/company/history", "status"),
+        ("a", 4, "https://a.example/frame", "out of scope"), ("a", 5, "https://a.example/shop/products", "missing"), ("b", 1, "https://b.example/", "status"), ("d", 1, "https://d.example/", "missing"),
+    ]
+    assert [r.contacts for r in replay(starts, stored, attempts=1).where("company = 'a'").collect()] == [["https://forms.example/contact?x"]]
+    assert replay(starts.limit(0), stored).count() == 0
