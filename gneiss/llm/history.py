@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 from posixpath import normpath
 from urllib.parse import unquote
 
@@ -185,13 +186,23 @@ def duplicates(df: DataFrame, shared_hosts: DataFrame, id_col: str = "candidate_
     return known_rows(rows, company_windows(first_ids(rows))).select("first_id", F.col("id").alias(id_col))
 
 
+#: Parts of the key space that a run is stored in, by the zone of a key.
+ZONES = 64
+
+
+def zone(key: Column) -> Column:
+    """Part of the key space of a key: all hosts under the same two last labels lie together, a tenant by itself."""
+    of_host = F.substring_index(key, " ", 2)
+    return F.pmod(F.xxhash64(F.when(key.startswith("/"), key).otherwise(of_host)), F.lit(ZONES)).cast("int")
+
+
 class History:
     """Persisted runs of keys with their first ids, in a folder that all executors share.
 
-    ``admit`` adds one batch: it touches the batch and the windows of history around the batch's
-    keys, never the rows admitted before. Runs are compacted into one after ``compact_after``
-    of them. A run is complete once its ``_SUCCESS`` file stands; a batch admitted again after a
-    lost driver writes the same keys, and the smallest id wins.
+    A run is stored by zone and sorted by key. ``admit`` adds one batch: it reads the batch, and of history
+    only the zones of the batch's keys, cut to the windows around them; rows admitted before are never read.
+    Runs are compacted into one after ``compact_after`` of them. A run counts once it is written whole; a batch
+    admitted again after a lost driver writes the same keys, and the smallest id wins.
     """
 
     def __init__(self, spark, name: str, compact_after: int = 8, folder: str | None = None):
@@ -203,11 +214,19 @@ class History:
     def _write(self, firsts: DataFrame) -> str:
         path = f"{self.folder}/run_{self.written:06d}"
         self.written += 1
-        firsts.select("key", "first_id", F.expr("element_at(split(key, '[ /]'), 2)").alias("second")).sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+        placed = firsts.select("key", "first_id", zone(F.col("key")).alias("zone")).repartitionByRange("zone", "key").sortWithinPartitions("zone", "key")
+        placed.write.mode("overwrite").partitionBy("zone").parquet(path)
         return path
 
-    def keys(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.runs).groupBy("key").agg(F.min("first_id").alias("first_id")) if self.runs else None
+    def keys(self, zones: list[int] | None = None) -> DataFrame | None:
+        """Distinct keys of all runs, or of some zones, with their first ids."""
+        if not self.runs:
+            return None
+        parts = [self.spark.read.schema(self.schema).parquet(run) for run in self.runs]
+        rows = reduce(DataFrame.unionByName, parts)
+        if zones is not None:
+            rows = rows.where(F.col("zone").isin(zones))  # prunes folders
+        return rows.groupBy("key").agg(F.min("first_id").alias("first_id"))
 
     def admit(self, rows: DataFrame) -> DataFrame:
         """``first_id, id`` of the batch's rows whose company is known, from the batch or before it.
@@ -217,10 +236,12 @@ class History:
         """
         rows = cut_lineage(rows)
         mine = first_ids(rows)
+        self.schema = f"key string, first_id {mine.schema['first_id'].dataType.simpleString()}, zone int"
         run = self._write(mine)
-        mine = self.spark.read.parquet(run).select("key", "first_id")
-        old = self.keys()
-        if old is not None:
+        stored = self.spark.read.schema(self.schema).parquet(run)
+        mine = stored.select("key", "first_id")
+        if self.runs:
+            old = self.keys([r[0] for r in stored.select("zone").distinct().collect()])  # at most ZONES numbers
             above = F.transform(F.sequence(F.lit(1), F.size(F.split("key", " "))), lambda n: F.array_join(F.slice(F.split("key", " "), 1, n), " "))
             tops = mine.select(F.explode(above).alias("top")).distinct()
             around = old.join(tops, old.key == tops.top, "left_semi")
