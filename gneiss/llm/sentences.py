@@ -148,7 +148,9 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
     spans, events = _spans(text, lo, hi)
     start = _MARKER.match(text, lo, hi)
     floor = start.end() if start else lo
-    cased = text[lo:hi] != text[lo:hi].lower()
+    block = text[lo:hi]
+    cased = block != block.lower()
+    stop = lo + len(block.rstrip())
     found: list[Candidate] = []
     s = 0
     begun = floor  # where the sentence that runs now may have begun
@@ -184,12 +186,14 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
             end = b + 1
             before = _before(text, a, len(body) + a + 1 - 1)
         elif terminal:
+            if mark == "." and e < hi and k > lo and text[k - 1] < "\u0900" and (text[e].isdigit() or text[e].islower()):
+                continue  # within a number or an address
             before = _before(text, lo, k)
         else:
             continue
         while end < hi and text[end] in _CLOSERS and not (s < len(spans) and any(x[0] == end for x in spans[s : s + 2])):
             end += 1
-        if end >= hi or not text[end:hi].strip():
+        if end >= stop:
             continue
         spaced = text[end].isspace()
         nxt = text[end]
