@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 WHITE_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 # Characters that are invisible on a page.
 INVISIBLE = r"[\x{e000}-\x{f8ff}\x{200b}-\x{200d}\x{2060}\x{feff}]"
+# A word boundary as Python has it: Java's own counts a combining mark to the letter before it.
+_WORD = r"[\p{L}\p{N}_]"
+_BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 # Fixed value: the shape of an address.
-EMAIL = r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
+EMAIL = rf"(?i){_BOUNDARY}[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}{_BOUNDARY}"
 REPLACEMENT = "\ufffd"
 
 

@@ -88,7 +88,7 @@ def url_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT crawl_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{M}\p{N}_])([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})(?:$|[^\p{L}\p{M}\p{N}_])', 1), lambda x: lower(x)))) AS found
+    r"""SELECT crawl_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})(?:$|[^\p{L}\p{N}_])', 1), lambda x: lower(x)))) AS found
     FROM crawls WHERE text LIKE '%@%'"""
 )
 def email_extract(spark: SparkSession, sf: str) -> DataFrame:
