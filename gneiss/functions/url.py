@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache, reduce
+from ipaddress import ip_address
 from posixpath import normpath
 from urllib.parse import quote, unquote, urlparse
 
@@ -162,3 +163,28 @@ def website_root(raw: str | None) -> str | None:
     if found[3].endswith(SKIPPED_ZONES) or any(found[3] == s or found[3].endswith("." + s) for s in SKIPPED_HOSTS):
         return None
     return None if found[6] and not found[7] else found[5]
+
+
+def refused_target(url: str, addresses: tuple[str, ...] = ()) -> str | None:
+    """Why a url must not be fetched, None if it may: only web schemes, ports 80 and 443, and global addresses.
+
+    ``addresses`` are what the host resolves to; a host that is itself an address is checked without them.
+    """
+    found = parts(url)
+    if found is None:
+        return "unreadable"
+    scheme, host, authority, _, _ = found
+    if scheme not in DEFAULT_PORTS:
+        return "scheme"
+    port = authority[len(host) + 1 :]
+    if port and int(port) not in DEFAULT_PORTS.values():
+        return "port"
+    if host == "localhost":
+        return "local"
+    for address in (host, *addresses):
+        try:
+            if not ip_address(address).is_global:
+                return "not global"
+        except ValueError:
+            continue
+    return None

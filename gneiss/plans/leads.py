@@ -9,6 +9,7 @@ from gneiss.functions import evidence as E
 from gneiss.functions import text as T
 from gneiss.functions.html import parsed_page
 from gneiss.functions.url import plain_host, same_site_columns, url_identity, with_identity
+from gneiss.operators import campaigns as P
 from gneiss.operators import checks as C
 from gneiss.operators import links as L
 from gneiss.operators import osm as O
@@ -448,3 +449,18 @@ def crawl_replay(spark: SparkSession, sf: str) -> DataFrame:
     pages = newest.join(homes.select("key", "nav").dropDuplicates(["key"]), "key", "left")
     pages = pages.select(F.col("key").alias("url"), F.col("p.url").alias("final_url"), F.col("p.status_code").alias("status"), F.coalesce("nav", F.lit("")).alias("html"))
     return replay(homes.select(F.col("canonical_url").alias("company"), F.col("canonical_url").alias("url")), pages).drop("contacts")
+
+
+@query("SELECT DISTINCT campaign_id, trim(k) AS keyword FROM (SELECT campaign_id, unnest(product.keywords) AS k FROM campaigns) WHERE trim(k) <> ''")
+def campaign_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    return P.keywords(table(spark, sf, "campaigns"))
+
+
+@query(
+    """SELECT campaign_id, CASE WHEN coalesce(contains(lower(objective), 'hospitality'), false) OR len(list_filter(['cafe', 'café', 'coffee shop', 'restaurant', 'カフェ', 'レストラン'], lambda w: contains(words, w))) > 0
+    THEN ['about', 'menu', 'locations', 'contact'] ELSE ['about', 'products', 'distribution', 'locations', 'contact'] END AS groups
+    FROM (SELECT campaign_id, objective, coalesce(lower(array_to_string(flatten(list_transform(buyer_types, lambda b: list_concat([b.name], coalesce(b.keywords, [])))), ' ')), '') AS words FROM campaigns)"""
+)
+def campaign_link_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Which groups of links each campaign reads first."""
+    return P.link_order(table(spark, sf, "campaigns"))

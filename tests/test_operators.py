@@ -232,3 +232,37 @@ def test_crawl_replay(spark):
     ]
     assert [r.contacts for r in replay(starts, stored, attempts=1).where("company = 'a'").collect()] == [["https://forms.example/contact?x"]]
     assert replay(starts.limit(0), stored).count() == 0
+
+
+def test_campaigns(spark):
+    from gneiss.operators import campaigns as P
+
+    shape = ("campaign_id string, research_mode string, product struct<name:string,keywords:array<string>>, market struct<name:string,keywords:array<string>>, product_evidence struct<rule:string,summary_ja:string>, "
+             "objective string, buyer_types array<struct<name:string,keywords:array<string>>>, target_accepted int, max_candidates int, batch_size int, max_pages_per_company int")
+    good = ("a", "batch", ("tea", ["tea", " tea ", "", None]), ("US", ["US"]), ("can_use", "x"), None, [("Importer", ["Coffee shop"])], 1000, 5000, 100, 5)
+    bad = ("b", None, (None, []), None, None, "sell", None, 60, 50, 500, 6)
+    df = spark.createDataFrame([good, bad], shape)
+    assert rows(P.keywords(df)) == [("a", "tea")]
+    assert [r.groups[1] for r in P.link_order(df).orderBy("campaign_id").collect()] == ["menu", "products"]
+    assert {r.fault for r in P.faults(df).collect() if r.campaign_id == "b"} == {
+        "product.name", "product.keywords", "market.name", "market.keywords", "buyer_types", "product_evidence.rule", "product_evidence.summary_ja", "target_accepted", "max_candidates", "max_pages_per_company"}
+    assert P.faults(df.where("campaign_id = 'a'")).count() == 0
+
+
+def test_targets():
+    from gneiss.functions.url import refused_target
+
+    assert refused_target("https://example.com/x") is None and refused_target("http://example.com:443", ("93.184.216.34",)) is None
+    reasons = [refused_target(u, a) for u, a in [("https://a:tel/", ()), ("ftp://a.com", ()), ("https://a.com:8080", ()), ("http://localhost", ()), ("http://127.0.0.1", ()), ("http://10.0.0.8/", ()), ("https://a.com", ("192.168.0.1",))]]
+    assert reasons == ["unreadable", "scheme", "port", "local", "not global", "not global", "not global"]
+
+
+def test_fetch_choice(spark):
+    from gneiss.operators.fetched import choose_fetch
+
+    long, ld = "word " * 60, '<script type="application/ld+json">{"@type":"PostalAddress","streetAddress":"1 Pier"}</script>'
+    shape = "url string, final_url string, status int, html string, text string, visible_text string"
+    plain = spark.createDataFrame([("a", "a", 200, ld, "short", "short"), ("b", "b", 200, "", long, long), ("c", "c", 403, "", "", ""), ("d", "d", 500, ld, "", ""), ("e", "e", 200, ld, "x", "x"), ("f", None, None, None, None, None)], shape)
+    rendered = spark.createDataFrame([("a", "a", 200, "", "full", "full"), ("b", "b", 200, "", "full", "full"), ("c", "c", 200, "", "full", "full"), ("d", "d", 200, "", "full", "full"), ("e", "z", 200, "", "full", "full")], shape)
+    got = {r.url: (r.fetched_with, r.text and r.text.strip()) for r in choose_fetch(plain, rendered).collect()}
+    assert got == {"a": ("rendered", "full [structured data address] 1 Pier"), "b": ("plain", long.strip()), "c": ("plain", ""), "d": ("rendered", "full"), "e": ("rendered", "full"), "f": ("plain", None)}
