@@ -130,7 +130,7 @@ def train(texts: list[str]) -> dict:
     lines, blocks = reader.features(page, number, sizes, local, block)
     y = np.array([k in MAIN for ks in kinds for k in ks], float)
     yb = np.maximum.reduceat(y, np.flatnonzero(np.diff(block, prepend=-1)))
-    model["lines"] = fit(lines, y, trees=40, depth=4).dump()
+    model["lines"] = fit(lines, y, trees=60, depth=4).dump()
     model["blocks"] = fit(blocks, yb, trees=25, depth=4).dump()
     return model
 
