@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from gneiss.operators import relations as R
 from gneiss.operators.frontier import replay
 from gneiss.operators.nested import child_table, nested_objects
 from gneiss.operators.search import directory_like, ranked_results
-from gneiss.session import table
+from gneiss.session import shared_dir, table
+from gneiss.sources.sinks import Snapshots
+from gneiss.streaming.incremental import arrivals
 
 Query = tuple[str, str | None]
 QUERIES: dict = {}
@@ -464,3 +468,16 @@ def campaign_keywords(spark: SparkSession, sf: str) -> DataFrame:
 def campaign_link_order(spark: SparkSession, sf: str) -> DataFrame:
     """Which groups of links each campaign reads first."""
     return P.link_order(table(spark, sf, "campaigns"))
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS rows FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events per day and type, counted as a stream."""
+    rows = table(spark, sf, "events").select("ts", "event_type")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf}/events.parque[t]").where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = Snapshots(spark, f"{folder}/table")
+    counted = arrivals(stream, "ts", "1 day", "1 day", "event_type")
+    run = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: store.publish(batch)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    run.start().awaitTermination()
+    return store.current().select(F.col("window.start").cast("date").alias("day"), "event_type", "rows")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -43,26 +42,37 @@ def write_report(df: DataFrame, path: str, most: int = 1_000_000) -> int:
 
 
 class Snapshots:
-    """Versions of a table in a shared folder: written whole, then made current by renaming a pointer file."""
+    """Versions of a table in a shared folder of any Hadoop file system: written whole, then made current by renaming a pointer."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.removeprefix("file://")
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), spark.sparkContext._jsc.hadoopConfiguration())
 
-    @property
-    def pointer(self) -> str:
-        return os.path.join(self.folder, "CURRENT")
+    def _path(self, name: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
 
     def current(self) -> DataFrame | None:
-        if not os.path.exists(self.pointer):
+        """The current version, None before the first."""
+        pointer = self._path("CURRENT")
+        if not self._files.util().exists(pointer):
             return None
-        with open(self.pointer) as f:
-            return self.spark.read.parquet(os.path.join(self.folder, f.read().strip()))
+        source = self._files.open(pointer)
+        version = bytes(source.readNBytes(100)).decode()
+        source.close()
+        return self.spark.read.parquet(f"{self.folder}/{version}")
 
     def publish(self, df: DataFrame) -> None:
         """A failure before the rename leaves the old version current."""
         version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(os.path.join(self.folder, version))
-        temporary = f"{self.pointer}.{version}"
-        with open(temporary, "w") as f:
-            f.write(version)
-        os.replace(temporary, self.pointer)
+        df.write.parquet(f"{self.folder}/{version}")
+        fs = self._jvm.org.apache.hadoop.fs
+        made = self._path(f"CURRENT.{version}")
+        file_system = made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        out = file_system.create(made, True)
+        out.write(version.encode())
+        out.close()
+        replace = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        replace[0] = fs.Options.Rename.OVERWRITE
+        self._files.rename(made, self._path("CURRENT"), replace)
