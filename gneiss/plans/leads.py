@@ -19,7 +19,7 @@ from gneiss.operators import relations as R
 from gneiss.operators.frontier import replay
 from gneiss.operators.nested import child_table, nested_objects
 from gneiss.operators.search import directory_like, ranked_results
-from gneiss.session import shared_dir, table
+from gneiss.session import shared_dir, spread, table
 from gneiss.sources.sinks import Snapshots
 from gneiss.streaming.incremental import arrivals
 
@@ -394,7 +394,8 @@ def page_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Pages wrapped as HTML and parsed again: name, addresses, text and quality."""
     body = F.regexp_replace(F.regexp_replace(F.col("text"), "&", "&amp;"), "<", "&lt;")
     page = F.concat(F.lit("<html><title>"), F.coalesce("title", F.lit("")), F.lit("</title><body><p>"), F.regexp_replace(body, "\n", "</p><p>"), F.lit("</p></body></html>"))
-    return table(spark, sf, "crawls").select("crawl_id", parsed_page(page, F.col("url")).alias("p")).select("crawl_id", "p.company_name", "p.emails", "p.content_quality", F.length("p.text").alias("length"))
+    rows = spread(table(spark, sf, "crawls").select("crawl_id", "url", "title", "text"))
+    return rows.select("crawl_id", parsed_page(page, F.col("url")).alias("p")).select("crawl_id", "p.company_name", "p.emails", "p.content_quality", F.length("p.text").alias("length"))
 
 
 @query()
