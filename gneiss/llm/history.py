@@ -231,8 +231,8 @@ class History:
     def admit(self, rows: DataFrame) -> DataFrame:
         """``first_id, id`` of the batch's rows whose company is known, from the batch or before it.
 
-        ``rows`` has ``id`` and ``key``. History is cut to the windows around the batch: a key
-        of history stays if it, or a host above or below it, is in the batch.
+        ``rows`` has ``id`` and ``key``. History is cut to the windows around the batch: a key of
+        history stays if it, or a host above it, is in the batch or is a host above one of the batch.
         """
         rows = cut_lineage(rows)
         mine = first_ids(rows)
@@ -245,8 +245,9 @@ class History:
             above = F.transform(F.sequence(F.lit(1), F.size(F.split("key", " "))), lambda n: F.array_join(F.slice(F.split("key", " "), 1, n), " "))
             tops = mine.select(F.explode(above).alias("top")).distinct()
             around = old.join(tops, old.key == tops.top, "left_semi")
-            below = old.select("key", "first_id", F.explode(above).alias("top")).join(mine.select(F.col("key").alias("top")), "top", "left_semi").select("key", "first_id")
-            mine = mine.unionByName(around).unionByName(below).groupBy("key").agg(F.min("first_id").alias("first_id"))
+            heads = mine.select(F.col("key").alias("top")).union(around.select("key")).distinct()
+            below = old.select("key", "first_id", F.explode(above).alias("top")).join(heads, "top", "left_semi").select("key", "first_id")
+            mine = mine.unionByName(below).groupBy("key").agg(F.min("first_id").alias("first_id"))
         found = cut_lineage(known_rows(rows, company_windows(mine)))
         self.runs.append(run)
         if len(self.runs) > self.compact_after:

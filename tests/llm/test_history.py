@@ -95,3 +95,20 @@ def test_batches_against_persisted_runs(spark, tmp_path):
         seen += [r for r in rows if low <= r[0] < low + 200]
         assert got == {p for p in brute(seen, TENANTS) if low <= p[1] < low + 200}
     assert len(history.runs) <= 2
+
+
+def test_siblings_below_a_known_root_keep_the_first_id(spark, tmp_path):
+    rng = random.Random(6)
+    hosts = [s + a for s in ("", "shop.", "en.", "m.", "x.shop.", "y.shop.") for a in ("b.example", "c.co.example", "d.example")]
+    rows = [(5, "a.e.example", None), (10, "e.example", None), (220, "c.e.example", None)]
+    rows += [(i, rng.choice(hosts), None) for i in rng.sample(range(20, 1000), 60)]
+    df, shared = frames(spark, rows)
+    tenants = shared_tenants(shared)
+    history = History(spark, "h", compact_after=2, folder=str(tmp_path))
+    seen = []
+    for low in range(0, 1000, 200):
+        batch = keyed_rows(df.where(F.col("candidate_id").between(low, low + 199)), tenants, "candidate_id", "url", "domain")
+        got = {(r.first_id, r.id) for r in history.admit(batch).collect()}
+        seen += [r for r in rows if low <= r[0] < low + 200]
+        assert got == {p for p in brute(seen, TENANTS) if low <= p[1] < low + 200}
+        assert low != 200 or (5, 220) in got
