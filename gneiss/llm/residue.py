@@ -13,7 +13,7 @@ import re
 
 NONE, PLACEHOLDER, FILLER, ERROR, SCRIPTS = range(5)
 
-_NAME = r"[A-Za-z_][\w. \-|:]{0,40}?"
+_NAME = r"[A-Za-z_][\w. \-|:]*?"
 # One grammar for each kind of delimiter.
 GRAMMARS = (
     r"\{\{\{?\s*[#/^>!&]?" + _NAME + r"\s*\}?\}\}", r"\{%\s*" + _NAME + r"\s*%\}", r"<%=?\s*" + _NAME + r"\s*%>", r"\$\{\s*" + _NAME + r"\s*\}",
@@ -29,7 +29,7 @@ _SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]*")
 _WORD = re.compile(r"[^\W_]+")
 _WORDLIKE = re.compile(r"[A-Za-zÀ-ÿ]+|[぀-ヿ㐀-鿿]{2}")
 
-_REPEATED = re.compile(r"(.{1,30}?)(?:\s*\1){2,}[\s.…]*(.*)", re.S)
+_REPEATED = re.compile(r"(.+?)(?:\s*\1){2,}[\s.…]*(.*)", re.S)
 _STOPPED = re.compile("[.!?。！？]")
 _MASHED = re.compile(r"[asdfghjkl]{2,}(?:\s+[asdfghjkl]{2,}){3,}[.!]?", re.I)
 # Words of pseudo-Latin filler.
@@ -46,20 +46,24 @@ _SAMPLES = re.compile(
     r"これはサンプルページです|内容を書き換えてください|(?:サンプル|ダミー)(?:文章|テキスト)?(?:です|が入ります)?|文章が入ります|見出しテキスト|ここに(?:文章|テキスト)[^。]*|"
     r"这是示例(?:页面|文字)[^。]*|示例(?:文字|文本)[^。]*|在此输入[^。]*|请替换[^。]*)"
 )
+# The rest of a sentence, with or without a code in parentheses at its end. Only the first code after the last
+# closed parenthesis is tried, so that a long line takes linear time.
+_REST = r"(?:(?>(?:[^.!?)]*\))*)(?>[^.!?)]*?%s\((?:%s) )[^)]*+\)|[^.!?]*)"
 # What errors are said of, and what they say.
 _THING = r"(?:the |this |that |your |our |an? )?(?:requested )?(?:page|site|web ?site|link|server|document|shop(?: system)?|address|request|file|resource|service|domain|account|url)(?: you (?:asked for|requested|are looking for))?(?: at this address)?"
 _FAILS = (
     r"(?:no longer exists?|could not be (?:processed|found|loaded|opened|displayed)|cannot be (?:reached|found|shown|displayed)(?: right now)?|did not answer in time|is blocked in your area|"
-    r"(?:has|have) (?:been )?moved(?: or (?:was|been) removed)?|was (?:moved or )?removed|(?:is|was) not (?:found|available|ready yet)|is closed for repair|(?:is|are) (?:temporarily |currently )?(?:unavailable|down)[^.!?]*|"
+    r"(?:has|have) (?:been )?moved(?: or (?:was|been) removed)?|was (?:moved or )?removed|(?:is|was) not (?:found|available|ready yet)|is closed for repair|"
     r"is parked|has been suspended|does not (?:exist|lead anywhere)|is under (?:construction|maintenance)|was refused by the server|timed out)"
 )
+_DOWN = r"(?:is|are) (?:temporarily |currently )?(?:unavailable|down)" + _REST % ("", "code|error")
 _TAIL = r"(?: ?\((?:code|error) [^)]*\)| ?[-–] ?please retry in [^.!?]*| ?[-–:,] ?(?:error|code) ?\w+)?"
 _AFTER = (
     r"our staff has been told|go back or try the (?:start|home) ?page|try the (?:home|start) ?page|please (?:come back|try again|retry)[^.!?]*|(?:please )?come back later|"
     r"slow down|we are sorry[^.!?]*|sorry|oops|thank you|ref: ?[\w\-]+|reference:? ?[\w\-]+|please wait"
 )
 _ERRORS = re.compile(
-    rf"(?:(?:error|http|code|status)? ?[45]\d\d\b ?[-–:]? ?)?{_THING} {_FAILS}{_TAIL}|{_AFTER}|(?:error|erreur|fehler|エラー|错误|http)[ :#]*[45]\d\d(?: ?[-–:：] ?[^.!?。]*)?|[45]\d\d(?: ?[-–:] ?)?(?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway time-?out)|"
+    rf"(?:(?:error|http|code|status)? ?[45]\d\d\b ?[-–:]? ?)?{_THING} (?:{_FAILS}{_TAIL}|{_DOWN})|{_AFTER}|(?:error|erreur|fehler|エラー|错误|http)[ :#]*[45]\d\d(?: ?[-–:：] ?[^.!?。]*)?|[45]\d\d(?: ?[-–:] ?)?(?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway time-?out)|"
     r"\S+/[\d.]+ (?:gateway time-?out|bad gateway|not found)|(?:fatal |parse |internal )?(?:server )?error: [^!?]*|fatal error|internal server error|database connection failed|(?:bad|gateway|connection) (?:gateway|time-?out|refused|reset)|not found|access (?:denied|forbidden|to this resource was refused by the server)|"
     r"too many requests(?: ?[-–] ?slow down)?|service (?:temporarily )?unavailable|(?:sorry, )?nothing was found here|that address does not lead anywhere|we are down for maintenance[^!?]*|we will be back[^!?]*|"
     r"(?:wegen wartung|zurzeit|derzeit)[^.!?]*nicht erreichbar|seite nicht gefunden|die seite (?:wurde|existiert|ist)[^.!?]*|zugriff verweigert|page introuvable|accès refusé|site en maintenance[^.!?]*|revenez plus tard|"
@@ -72,7 +76,7 @@ _MEANS = (
     r"use (?:a|another) browser with (?:scripting|javascript|scripts))"
 )
 _DEMANDS = re.compile(
-    rf"(?:(?:to|for|before|in order to|if)\b[^.!?,]{{0,60}}, )?{_MEANS}(?: (?:in|for) your browser(?: settings)?)?(?: (?:and|then) (?:reload|try again)[^.!?]*)?(?: to (?:see|view|use|run|continue)[^.!?]*)?(?: \(error [^)]*\))?|"
+    rf"(?:(?:to|for|before|in order to|if)\b[^.!?,]*, )?{_MEANS}(?: (?:in|for) your browser(?: settings)?)?(?: (?:(?:and|then) (?:reload|try again)|to (?:see|view|use|run|continue)){_REST % (" ", "error")}| \(error [^)]*\))?|"
     r"you need to enable javascript[^.!?]*|your browser (?:is too old|does not support|blocks)[^.!?]*|(?:javascript|scripts?) (?:is|are|must be|has been) (?:disabled|off|blocked|required|enabled|on|turned off)[^.!?]*|switch it on(?: and reload)?|"
     r"this (?:shop|site|page|app)(?: \w+)? (?:does not work|cannot be shown|will not work|requires?|needs)(?: without| with)? ?(?:javascript|scripts?|cookies)[^.!?]*|scripts and cookies must be on|checking (?:that|if) you are (?:not a robot|human)|"
     r"loading|please wait|some features need scripts|just a moment|"
@@ -136,8 +140,6 @@ def line_kind(line: str) -> int:
         return kind
     if kind := _filler(line, low):
         return kind
-    if len(line) > 400:
-        return NONE
     kind = NONE
     for sentence in _sentences(_NUMBERED.sub("", low)):
         bare = sentence.strip(" .!?。！？;…")

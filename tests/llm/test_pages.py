@@ -75,3 +75,24 @@ def test_very_long_page():
     reader = PageReader.load()
     page, number, _ = reader.main_lines([PAGE + "\n" + "Our cookies are baked at 9 a.m. in Teruma.\n" * 50_000])
     assert set(MAIN) <= set(number.tolist()) and len(number) > 49_000
+
+
+@pytest.mark.parametrize(
+    "line,kind",
+    [
+        ("The page you asked for could not be found. " * 2 + "Please try again later. " * 20, ERROR), ("To view this content, please enable JavaScript in your browser settings. " + "Please wait. Loading. " * 30, SCRIPTS),
+        ("To see the prices, the stock of every shop and all offers of this week in full, enable JavaScript.", NONE), ("To see all of the prices and the stock of every single shop of ours today, enable JavaScript.", SCRIPTS),
+        ("This is a sample page. Your text goes here. Add your text here. ".replace("Add your text here. ", "Coming soon. ") * 12, FILLER), ("Warm and fresh from our own oven in the old town " * 4, FILLER),
+        ("{{ site.settings.footer.address.second_line_of_the_company_name }}", PLACEHOLDER), ("The page you asked for could not be found. " * 20 + "We grade cookies by hand.", NONE),
+        ("the page is down " + "(code x " * 30_000 + "3.5", NONE), ("please enable javascript and reload" + " to see (error x" * 20_000 + " 3.5", NONE), ("".join(f"[a{i} " for i in range(30_000)), NONE), ("ab abc " + "".join(map(str, range(30_000))), NONE),
+    ],
+)
+def test_residue_of_any_length(line, kind):
+    assert line_kind(line) == kind
+
+
+def test_pages_of_one_long_line_of_residue(spark):
+    long = "The page you asked for could not be found. " + "Please try again later. " * 20
+    df = spark.createDataFrame([(1, long), (2, "MENU\n• Recipes\n" + long), (3, PAGE)], "crawl_id bigint, text string")
+    assert sorted(r.crawl_id for r in residue_pages(df, "crawl_id", "text").collect()) == [1, 2]
+    assert {r.crawl_id for r in main_body(df, "crawl_id", "text").collect()} == {3}
