@@ -2,7 +2,7 @@
 
 A page is a tree of page, blocks and lines; a block is a stretch of lines of one make. Each
 line node has attribute scores (how its tokens are shared out among kinds of lines), its own
-shape, its depth and place, statistics of its siblings and of the block around it. One model
+shape, its place (plain text has no depth), statistics of its siblings and of the block around it. One model
 judges blocks, one judges lines, and decoding takes the likeliest labels in which no line is
 main in a block that isn't and every main block has a main line.
 """
