@@ -19,7 +19,7 @@ from urllib.parse import unquote
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.session import cut_lineage, shared_dir
@@ -169,9 +169,32 @@ def known_rows(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.join(windows, "key").where(F.col("id") > F.col("first_id")).select("first_id", "id")
 
 
-def keyed_rows(df: DataFrame, tenants: dict[str, str], id_col: str, url_col: str, domain_col: str) -> DataFrame:
+def chain(key: Column) -> Column:
+    """A key and all keys above it, the shortest first; a tenant stands by itself."""
+    labels = F.split(key, " ")
+    return F.when(key.startswith("/"), F.array(key)).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), " ")))
+
+
+def windows_by_batch(firsts: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``key, batch, first_id`` (of the key's whole company as it stood once that batch was in).
+
+    ``firsts`` has the distinct keys of each batch with their first ids, ``before`` those of all earlier
+    batches. The running minimum takes one row for each batch of ``firsts`` and key of a company.
+    """
+    rows = firsts.select("key", "batch", "first_id")
+    if before is not None:
+        rows = rows.unionByName(before.select("key", F.lit(None).cast(firsts.schema["batch"].dataType).alias("batch"), "first_id"))
+    links = rows.withColumn("top", F.explode(chain(F.col("key")))).join(rows.select(F.col("key").alias("top")).distinct(), "top", "left_semi")
+    so_far = Window.partitionBy("top").orderBy(F.asc_nulls_first("batch")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = links.groupBy("top", "batch").agg(F.min("first_id").alias("first_id"), F.max(F.col("key") == F.col("top")).alias("here"))
+    tops = tops.select("top", "batch", F.min("first_id").over(so_far).alias("first_id"), F.max("here").over(so_far).alias("here")).where("here")
+    heads = links.where("batch IS NOT NULL").select("key", "batch", "top").join(tops, ["top", "batch"])
+    return heads.groupBy("key", "batch").agg(F.min_by("first_id", F.length("top")).alias("first_id"))
+
+
+def keyed_rows(df: DataFrame, tenants: dict[str, str], id_col: str, url_col: str, domain_col: str, batch: Column | None = None) -> DataFrame:
     key = key_column(tenants, F.col(url_col), F.col(domain_col))
-    return df.select(F.col(id_col).alias("id"), key.alias("key")).where(F.col("key").isNotNull() & F.col("id").isNotNull())
+    return df.select(F.col(id_col).alias("id"), key.alias("key"), *([] if batch is None else [batch.alias("batch")])).where(F.col("key").isNotNull() & F.col("id").isNotNull())
 
 
 def duplicates(df: DataFrame, shared_hosts: DataFrame, id_col: str = "candidate_id", url_col: str = "url", domain_col: str = "domain") -> DataFrame:
@@ -233,22 +256,29 @@ class History:
 
         ``rows`` has ``id`` and ``key``. History is cut to the windows around the batch: a key of
         history stays if it, or a host above it, is in the batch or is a host above one of the batch.
+        With a column ``batch`` (ordered, not null) the rows are several batches, admitted in one go: each row
+        meets its own batch and those before it, as if they came one by one.
         """
         rows = cut_lineage(rows)
         mine = first_ids(rows)
         self.schema = f"key string, first_id {mine.schema['first_id'].dataType.simpleString()}, zone int"
         run = self._write(mine)
         stored = self.spark.read.schema(self.schema).parquet(run)
-        mine = stored.select("key", "first_id")
+        mine, below = stored.select("key", "first_id"), None
         if self.runs:
             old = self.keys([r[0] for r in stored.select("zone").distinct().collect()])  # at most ZONES numbers
-            above = F.transform(F.sequence(F.lit(1), F.size(F.split("key", " "))), lambda n: F.array_join(F.slice(F.split("key", " "), 1, n), " "))
+            above = chain(F.col("key"))
             tops = mine.select(F.explode(above).alias("top")).distinct()
             around = old.join(tops, old.key == tops.top, "left_semi")
             heads = mine.select(F.col("key").alias("top")).union(around.select("key")).distinct()
             below = old.select("key", "first_id", F.explode(above).alias("top")).join(heads, "top", "left_semi").select("key", "first_id")
+            below = below.groupBy("key").agg(F.min("first_id").alias("first_id"))
             mine = mine.unionByName(below).groupBy("key").agg(F.min("first_id").alias("first_id"))
-        found = cut_lineage(known_rows(rows, company_windows(mine)))
+        if "batch" in rows.columns:
+            windows = windows_by_batch(rows.groupBy("key", "batch").agg(F.min("id").alias("first_id")), below)
+            found = cut_lineage(rows.join(windows, ["key", "batch"]).where(F.col("id") > F.col("first_id")).select("first_id", "id"))
+        else:
+            found = cut_lineage(known_rows(rows, company_windows(mine)))
         self.runs.append(run)
         if len(self.runs) > self.compact_after:
             self.runs = [self._write(self.keys())]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from gneiss.llm.history import History, duplicates, keyed_rows, shared_tenants
 from gneiss.session import table
 
-#: Admissions that p4_arrivals makes of the whole table, each of consecutive intake batches.
-ADMISSIONS = 4
+#: Consecutive intake batches that p4_arrivals admits in one go; the rows don't depend on it.
+BATCHES = 128
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,20 +20,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows known on arrival, batch group after batch group against persisted runs."""
+    """The rows known on arrival, each at its own intake batch, against persisted runs; rows without a batch come first."""
     candidates = table(spark, sf_dir, "candidates")
     tenants = shared_tenants(table(spark, sf_dir, "shared_hosts"))
-    last = candidates.agg(F.max("intake_batch")).first()[0] or 0
+    batch = F.coalesce(F.col("intake_batch").cast("long"), F.lit(-(2**63)))
+    numbers = [r[0] for r in candidates.select(batch.alias("batch")).distinct().orderBy("batch").collect()]  # one number a batch
     history = History(spark, f"p4-{uuid.uuid4().hex}", compact_after=2)
-    cuts = [last * k // ADMISSIONS for k in range(1, ADMISSIONS)]
-    low, found = None, []
-    for high in [*cuts, None]:
-        batch = F.col("intake_batch")
-        wanted = (F.lit(True) if low is None else batch > low) & (F.lit(True) if high is None else batch <= high)
-        if low is None:
-            wanted = wanted | batch.isNull()
-        found.append(history.admit(keyed_rows(candidates.where(wanted), tenants, "candidate_id", "url", "domain")))
-        low = high
+    found = []
+    for at in range(0, max(len(numbers), 1), BATCHES):
+        wanted = batch.between(numbers[at], numbers[at : at + BATCHES][-1]) if numbers else F.lit(True)
+        found.append(history.admit(keyed_rows(candidates.where(wanted), tenants, "candidate_id", "url", "domain", batch)))
     return reduce(DataFrame.unionByName, found).select("first_id", F.col("id").alias("candidate_id"))
 
 

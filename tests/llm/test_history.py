@@ -112,3 +112,23 @@ def test_siblings_below_a_known_root_keep_the_first_id(spark, tmp_path):
         seen += [r for r in rows if low <= r[0] < low + 200]
         assert got == {p for p in brute(seen, TENANTS) if low <= p[1] < low + 200}
         assert low != 200 or (5, 220) in got
+
+
+@pytest.mark.parametrize("group", [1, 3, 8])
+def test_rows_do_not_depend_on_the_grouping_of_batches(spark, tmp_path, group):
+    rng = random.Random(9)
+    rows = [(i, u, d) for i, u, d in {r[0]: r for r in random_rows(200, 8)}.values()]
+    rows += [(2000, "m.z.example", None), (2001, "z.example", None), (2002, "x.z.example", None), (2003, "m.z.example", None)]
+    batch_of = {r[0]: rng.randrange(8) for r in rows} | {2000: 3, 2001: 5, 2002: 4, 2003: 4}
+    df, shared = frames(spark, rows)
+    df = df.join(spark.createDataFrame(list(batch_of.items()), "candidate_id bigint, at bigint"), "candidate_id")
+    tenants = shared_tenants(shared)
+    want = set()
+    for b in range(8):
+        want |= {p for p in brute([r for r in rows if batch_of[r[0]] <= b], TENANTS) if batch_of[p[1]] == b}
+    history = History(spark, "h", compact_after=2, folder=str(tmp_path))
+    got = set()
+    for low in range(0, 8, group):
+        batch = keyed_rows(df.where(F.col("at").between(low, low + group - 1)), tenants, "candidate_id", "url", "domain", F.col("at"))
+        got |= {(r.first_id, r.id) for r in history.admit(batch).collect()}
+    assert got == want and (2000, 2003) in got and all(i != 2002 for _, i in got)
