@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import evidence as E
@@ -443,14 +443,19 @@ def page_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def crawl_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Bounded crawls over the stored pages; each company's home page links to one page of each group of links."""
-    crawls = table(spark, sf, "crawls").where("url IS NOT NULL AND canonical_url IS NOT NULL").withColumn("key", url_identity(F.col("url"))["canonical"]).where("key IS NOT NULL")
+    """Bounded crawls over the stored pages; each company's home page links to its pages of each group of links."""
+    crawls = table(spark, sf, "crawls").where("url IS NOT NULL AND canonical_url IS NOT NULL").withColumn("who", url_identity(F.col("url"))).withColumn("key", F.col("who.canonical")).where("key IS NOT NULL")
     newest = crawls.groupBy("key").agg(F.max_by(F.struct("url", "status_code"), "crawl_id").alias("p"))
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
-    grouped = crawls.select("canonical_url", "url", L.link_group(path, F.lit("")).alias("kind")).where("kind IS NOT NULL").groupBy("canonical_url", "kind").agg(F.min("url").alias("url"))
-    link = F.concat(F.lit('<a href="'), "url", F.lit('">page</a>'))
-    nav = grouped.groupBy("canonical_url").agg(F.array_join(F.sort_array(F.collect_list(link)), "").alias("nav"))  # one link a group
-    homes = crawls.select("canonical_url").distinct().withColumn("key", url_identity(F.col("canonical_url"))["canonical"]).where("key IS NOT NULL").join(nav, "canonical_url", "left")
+    links = crawls.withColumn("kind", L.link_group(path, F.lit(""))).where("kind IS NOT NULL").withColumn("rank", -L.link_score(F.col("kind"), path, F.lit("")))
+    links = links.groupBy("canonical_url", "kind", "key").agg(F.min(F.struct("rank", "url", "who")).alias("best"))
+    homes = crawls.select("canonical_url").distinct().withColumn("home", url_identity(F.col("canonical_url"))).withColumn("key", F.col("home.canonical")).where("key IS NOT NULL")
+    links = links.join(homes.select("canonical_url", "home"), "canonical_url").where(same_site_columns(F.col("home"), F.col("best.who")))
+    # replay passes over pages it has seen, two an attempt at most, so that the best of a group is always among eleven.
+    links = links.withColumn("place", F.row_number().over(Window.partitionBy("canonical_url", "kind").orderBy("best.rank", "best.url"))).where("place <= 11")
+    link = F.concat(F.lit('<a href="'), "best.url", F.lit('">page</a>'))
+    nav = links.groupBy("canonical_url").agg(F.array_join(F.sort_array(F.collect_list(link)), "").alias("nav"))  # eleven links a group at most
+    homes = homes.join(nav, "canonical_url", "left")
     pages = newest.join(homes.select("key", "nav").dropDuplicates(["key"]), "key", "left")
     pages = pages.select(F.col("key").alias("url"), F.col("p.url").alias("final_url"), F.col("p.status_code").alias("status"), F.coalesce("nav", F.lit("")).alias("html"))
     return replay(homes.select(F.col("canonical_url").alias("company"), F.col("canonical_url").alias("url")), pages).drop("contacts")

@@ -234,6 +234,17 @@ def test_crawl_replay(spark):
     assert replay(starts.limit(0), stored).count() == 0
 
 
+def test_replayed_home_links_to_more_than_one_page_of_a_group(spark, tmp_path):
+    from gneiss.plans.leads import crawl_replay
+
+    home = "https://a.example/about-tea"
+    urls = [home, "https://a.example/company", "https://a.example/product/a", "https://0.example/contact", "https://a.example/contact"]
+    rows_ = [(i, u, home, 200) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows_, "crawl_id bigint, url string, canonical_url string, status_code int").write.parquet(f"{tmp_path}/crawls.parquet")
+    got = {r.requested for r in crawl_replay(spark, str(tmp_path)).collect()}
+    assert got == {home, "https://a.example/company", "https://a.example/product/a", "https://a.example/contact"}
+
+
 def test_campaigns(spark):
     from gneiss.operators import campaigns as P
 
