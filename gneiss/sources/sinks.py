@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,58 +22,98 @@ def write_parts(df: DataFrame, path: str, part: str) -> None:
     df.repartition(part).write.mode("overwrite").partitionBy(part).json(path, ignoreNullFields=False)
 
 
-def report_csv(rows: Iterator, columns: list[str]) -> bytes:
-    """Bytes of a report: byte-order mark, CRLF, quotes doubled where needed, null as empty."""
+def report_chunks(rows: Iterable, columns: list[str]) -> Iterator[bytes]:
+    """Lines of a report: byte-order mark, CRLF, quotes doubled where needed, null as empty."""
     out = io.StringIO(newline="")
     writer = csv.writer(out, lineterminator="\r\n")
-    writer.writerow(columns)
-    for row in rows:
+    yield b"\xef\xbb\xbf"
+    for row in chain((columns,), rows):
         writer.writerow(["" if v is None else v for v in row])
-    return b"\xef\xbb\xbf" + out.getvalue().encode("utf-8")
+        yield out.getvalue().encode("utf-8")
+        out.seek(0)
+        out.truncate()
 
 
-def write_report(df: DataFrame, path: str, most: int = 1_000_000) -> int:
-    """A report for people, streamed partition by partition through the driver; more than ``most`` rows are refused."""
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"a report has at most {most} rows")
+def report_csv(rows: Iterable, columns: list[str]) -> bytes:
+    return b"".join(report_chunks(rows, columns))
+
+
+def write_report(df: DataFrame, path: str) -> int:
+    """A report for people in one file, streamed partition by partition through the driver, which holds one partition at a time; gives its rows."""
+    n = 0
+
+    def counted() -> Iterator:
+        nonlocal n
+        for row in df.toLocalIterator():
+            n += 1
+            yield row
+
     with open(path, "wb") as f:
-        f.write(report_csv(df.toLocalIterator(), df.columns))
+        for chunk in report_chunks(counted(), df.columns):
+            f.write(chunk)
     return n
 
 
-class Snapshots:
-    """Versions of a table in a shared folder of any Hadoop file system: written whole, then made current by renaming a pointer."""
+class Pointer:
+    """A small text in a shared folder of any Hadoop file system that is replaced at once, by renaming."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, name: str = "CURRENT"):
+        self.folder, self.name = folder.rstrip("/"), name
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._gateway = spark.sparkContext._gateway
+        self._files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self._conf)
 
     def _path(self, name: str):
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+        return path.getFileSystem(self._conf).makeQualified(path)
+
+    def read(self) -> str | None:
+        """The text, None before the first."""
+        place = self._path(self.name)
+        if not self._files.util().exists(place):
+            return None
+        source = self._files.open(place)
+        try:
+            return bytes(source.readAllBytes()).decode("utf-8")
+        finally:
+            source.close()
+
+    def publish(self, text: str) -> None:
+        """A failure before the rename leaves the old text."""
+        fs = self._jvm.org.apache.hadoop.fs
+        made = self._path(f"{self.name}.{uuid.uuid4().hex}")
+        out = made.getFileSystem(self._conf).create(made, True)
+        out.write(text.encode("utf-8"))
+        out.close()
+        replace = self._gateway.new_array(fs.Options.Rename, 1)
+        replace[0] = fs.Options.Rename.OVERWRITE
+        self._files.rename(made, self._path(self.name), replace)
+
+    def remove(self, folder: str) -> None:
+        """Removes a folder of the same file system and all in it; none is no fault."""
+        self._files.delete(self._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
+class Snapshots:
+    """Versions of a table in a shared folder: written whole, then made current by a pointer. ``keep`` versions before it stay for readers."""
+
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 1):
+        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
+        self._pointer = Pointer(spark, folder)
+
+    def _versions(self) -> list[str]:
+        return (self._pointer.read() or "").split()
 
     def current(self) -> DataFrame | None:
         """The current version, None before the first."""
-        pointer = self._path("CURRENT")
-        if not self._files.util().exists(pointer):
-            return None
-        source = self._files.open(pointer)
-        version = bytes(source.readNBytes(100)).decode()
-        source.close()
-        return self.spark.read.parquet(f"{self.folder}/{version}")
+        versions = self._versions()
+        return self.spark.read.parquet(f"{self.folder}/{versions[0]}") if versions else None
 
     def publish(self, df: DataFrame) -> None:
-        """A failure before the rename leaves the old version current."""
+        """A failure before the pointer is renamed leaves the old version current; versions older than ``keep`` are removed after it."""
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{version}")
-        fs = self._jvm.org.apache.hadoop.fs
-        made = self._path(f"CURRENT.{version}")
-        file_system = made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        out = file_system.create(made, True)
-        out.write(version.encode())
-        out.close()
-        replace = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
-        replace[0] = fs.Options.Rename.OVERWRITE
-        self._files.rename(made, self._path("CURRENT"), replace)
+        versions = [version, *self._versions()]
+        self._pointer.publish(" ".join(versions[: self.keep + 1]))
+        for old in versions[self.keep + 1 :]:
+            self._pointer.remove(f"{self.folder}/{old}")

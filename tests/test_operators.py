@@ -160,6 +160,7 @@ def test_snapshots_and_resume(spark, tmp_path):
     assert resume(spark, work.unionByName(spark.createDataFrame([(3,)], "id int")), ["id"], store, step).count() == 3 and seen == [2, 1]
     with pytest.raises(Exception):
         store.publish(work.select(F.raise_error(F.lit("lost"))))
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("v-")]) == 3  # the current, the one before, and the lost one
     assert store.current().count() == 3 and remaining(work, store.current(), ["id"]).count() == 0
 
 
@@ -186,7 +187,11 @@ def test_spread(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
     spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
     one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    assert spread(one) is one  # too few bytes for a second task
+    wide = spark.range(600_000).selectExpr("id", "sha2(string(id), 512) AS s").coalesce(1)
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    assert spread(wide).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and spread(wide).count() == 600_000
     assert spread(many) is many
 
 
