@@ -3,14 +3,17 @@
 Every row has one sort key: its host with the labels reversed, or its tenant on a shared
 host. In key order a host is followed at once by the hosts below it, so a company is a
 window of neighbours that starts at its shortest host. A batch is reduced to its distinct
-keys with their first ids, sorted, and merged with the persisted run of earlier keys; one
-pass over the sorted neighbours gives each key the root of its window.
+keys with their first ids, sorted and written as a run beside the earlier ones, and compared
+only with the windows of earlier keys around its own.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 from posixpath import normpath
@@ -18,11 +21,11 @@ from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.session import cut_lineage, shared_dir
+from gneiss.sources.sinks import Pointer
 
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:(?=//)")
 _NO_HOST = re.compile(r"(?:mailto|tel|javascript|data|about|urn):", re.I)
@@ -96,13 +99,17 @@ def company_key(address: str | None, tenants: dict[str, str]) -> str | None:
     return " ".join(reversed(host.split(".")))
 
 
-def shared_tenants(shared_hosts: DataFrame, most: int = 10_000) -> dict[str, str]:
-    """Host to tenant prefix. A configuration table: more than ``most`` rows are refused."""
+#: Shared hosts up to which a copy goes to every task; larger tables are joined.
+HELD_HOSTS = 10_000
+
+
+def shared_tenants(shared_hosts: DataFrame, most: int = HELD_HOSTS) -> dict[str, str] | None:
+    """Host to tenant prefix, None for more than ``most`` rows."""
     rows = shared_hosts.select("host", "tenant_prefix").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} shared hosts")
-    parsed = ((split_address(r.host or ""), r.tenant_prefix or "") for r in rows)
-    return {p[0]: prefix for p, prefix in parsed if p}
+        return None
+    parsed = sorted((p[0], r.tenant_prefix or "") for r in rows if (p := split_address(r.host or "")))
+    return dict(parsed)
 
 
 def key_column(tenants: dict[str, str], url: Column, domain: Column) -> Column:
@@ -115,58 +122,30 @@ def key_column(tenants: dict[str, str], url: Column, domain: Column) -> Column:
     return keys.asNondeterministic()(url, domain)  # so that a filter on the key does not compute it again
 
 
-def first_ids(rows: DataFrame) -> DataFrame:
-    """Distinct keys with their smallest id; combined before the shuffle, so a hot key is one row per task."""
-    return rows.groupBy("key").agg(F.min("id").alias("first_id"))
+def _joined_keys(rows: DataFrame, shared_hosts: DataFrame) -> DataFrame:
+    """``rows`` with ``key`` from ``_url`` and ``_domain``, where the shared hosts are too many to be held: two joins on the host."""
 
+    @F.pandas_udf("struct<host:string,path:string>")
+    def split(addresses: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(split_address(a) if a else None) or (None, None) for a in addresses], columns=["host", "path"])
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over sorted distinct keys: each gets the root of the window it lies in."""
-    part = TaskContext.get().partitionId()
-    root = below = None
-    for batch in batches:
-        roots = []
-        for key in batch.column(0).to_pylist():
-            if below is None or not key.startswith(below):
-                root = key
-                below = None if key.startswith("/") else key + " "
-            roots.append(root)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(roots, pa.string()), pa.array([part] * len(batch), pa.int32())],
-            ["key", "first_id", "root", "part"],
-        )
+    @F.pandas_udf("string")
+    def key(hosts: pd.Series, paths: pd.Series, prefixes: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else company_key(h + (p or ""), {} if x is None else {h: x}) for h, p, x in zip(hosts, paths, prefixes)], dtype=object)
 
+    shared = shared_hosts.select(split.asNondeterministic()("host")["host"].alias("_host"), F.coalesce("tenant_prefix", F.lit("")).alias("_prefix")).where("_host IS NOT NULL").groupBy("_host").agg(F.max("_prefix").alias("_prefix"))
+    for name in ("_url", "_domain"):
+        parted = rows.withColumn("_at", split.asNondeterministic()(name)).withColumn("_host", F.col("_at.host"))
+        rows = parted.join(shared, "_host", "left").withColumn(name, key.asNondeterministic()("_host", "_at.path", "_prefix")).drop("_at", "_host", "_prefix")
+    return rows.withColumn("key", F.coalesce("_url", "_domain"))
 
-def company_windows(firsts: DataFrame, ranges: int | None = None) -> DataFrame:
-    """``key, first_id`` (of the key's whole company) from distinct keys with their first ids.
 
-    Keys are range-partitioned and sorted; a window that began in an earlier range is carried
-    over through one row a range, so no company has to fit into one task.
-    """
-    spark = firsts.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = firsts.schema["first_id"].dataType.simpleString()
-    scanned = cut_lineage(
-        firsts.select("key", "first_id").repartitionByRange(ranges, "key").sortWithinPartitions("key").mapInArrow(_scan, f"key string, first_id {kind}, root string, part int")
-    )
-    # One row a range: bounded by the number of ranges, not by the data.
-    ends = scanned.groupBy("part").agg(F.max_by("root", "key").alias("root")).orderBy("part").collect()
-    carry, carried = None, []
-    for part, root in ends:
-        carried.append((part, carry))
-        if carry is None or not root.startswith(carry + " "):
-            carry = None if root.startswith("/") else root
-    carries = spark.createDataFrame(carried, "part int, carry string")
-    resolved = scanned.join(F.broadcast(carries), "part", "left").select(
-        "key", "first_id", F.when(F.expr("startswith(key, concat(carry, ' '))"), F.col("carry")).otherwise(F.col("root")).alias("root")
-    )
-    firsts_of_roots = resolved.groupBy("root").agg(F.min("first_id").alias("first_id"))
-    return resolved.select("key", "root").join(firsts_of_roots, "root").select("key", "first_id")
-
-
-def known_rows(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """``first_id, id`` of the rows whose company has a smaller id. A hot key is split by AQE's skew join."""
-    return rows.join(windows, "key").where(F.col("id") > F.col("first_id")).select("first_id", "id")
+def keyed_rows(df: DataFrame, shared_hosts: DataFrame, id_col: str, url_col: str, domain_col: str, batch: Column | None = None, most: int = HELD_HOSTS) -> DataFrame:
+    """``id, key`` (and ``batch``) of the rows that name a company."""
+    named = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("_url"), F.col(domain_col).alias("_domain"), *([] if batch is None else [batch.alias("batch")])).where("id IS NOT NULL")
+    tenants = shared_tenants(shared_hosts, most)
+    keyed = _joined_keys(named, shared_hosts) if tenants is None else named.withColumn("key", key_column(tenants, F.col("_url"), F.col("_domain")))
+    return keyed.drop("_url", "_domain").where("key IS NOT NULL")
 
 
 def chain(key: Column) -> Column:
@@ -192,94 +171,158 @@ def windows_by_batch(firsts: DataFrame, before: DataFrame | None) -> DataFrame:
     return heads.groupBy("key", "batch").agg(F.min_by("first_id", F.length("top")).alias("first_id"))
 
 
-def keyed_rows(df: DataFrame, tenants: dict[str, str], id_col: str, url_col: str, domain_col: str, batch: Column | None = None) -> DataFrame:
-    key = key_column(tenants, F.col(url_col), F.col(domain_col))
-    return df.select(F.col(id_col).alias("id"), key.alias("key"), *([] if batch is None else [batch.alias("batch")])).where(F.col("key").isNotNull() & F.col("id").isNotNull())
+#: Keys in one file of a run.
+RANGE_KEYS = 1_000_000
 
 
-def duplicates(df: DataFrame, shared_hosts: DataFrame, id_col: str = "candidate_id", url_col: str = "url", domain_col: str = "domain") -> DataFrame:
-    """``first_id`` and ``id_col`` of each row whose company has a row with a smaller id.
-
-    The batch is the whole of ``df``, merged into an empty history. Rows without a usable
-    url and domain, and rows without id, are no case; rows repeated with one id are not later
-    than themselves; ties don't arise as ids order the rows. Empty tables give no row. Only the
-    named columns are read, so extra columns and their names don't matter.
+class History:
+    """Persisted sorted runs of keys with their first ids, in a folder that all executors share.
+
+    A run is range-partitioned and sorted by key; the manifest names the runs, their files and the first and last
+    key of each file, and is replaced at once, so a lost driver leaves the state before or after a batch. Run
+    names are never used twice. ``admit`` writes one sorted run for its batch and reads of history only the files
+    whose key range holds a key above a new one, or meets the window of a company that a new key belongs to.
+    ``fan`` runs of one tier are merged into one of the next, after which their folders are removed, so a key is
+    written once a tier. The manifest has a line for every RANGE_KEYS keys and is what the driver holds.
+    A batch admitted twice gives the same rows: the smallest id of a key wins.
     """
-    rows = cut_lineage(keyed_rows(df, shared_tenants(shared_hosts), id_col, url_col, domain_col))
-    return known_rows(rows, company_windows(first_ids(rows))).select("first_id", F.col("id").alias(id_col))
-
-
-#: Parts of the key space that a run is stored in, by the zone of a key.
-ZONES = 64
-
-
-def zone(key: Column) -> Column:
-    """Part of the key space of a key: all hosts under the same two last labels lie together, a tenant by itself."""
-    of_host = F.substring_index(key, " ", 2)
-    return F.pmod(F.xxhash64(F.when(key.startswith("/"), key).otherwise(of_host)), F.lit(ZONES)).cast("int")
 
+    def __init__(self, spark, folder: str, fan: int = 8, range_keys: int = RANGE_KEYS):
+        self.spark, self.folder, self.fan, self.range_keys = spark, folder.rstrip("/"), fan, range_keys
+        self.pointer = Pointer(spark, self.folder, "MANIFEST")
+        told = self.pointer.read()
+        state = json.loads(told) if told else {"kind": "bigint", "runs": []}
+        self.kind: str = state["kind"]
+        #: each run: name, tier and files [path, first key, last key, keys], in key order
+        self.runs: list[dict] = state["runs"]
+
+    def _publish(self, runs: list[dict]) -> None:
+        self.pointer.publish(json.dumps({"kind": self.kind, "runs": runs}))
+        self.runs = runs
+
+    def _write(self, firsts: DataFrame, keys: int, tier: int) -> dict:
+        """Writes one run; it counts once the manifest names it."""
+        path = f"{self.folder}/run-{uuid.uuid4().hex}"
+        firsts.select("key", "first_id").repartitionByRange(max(1, -(-keys // self.range_keys)), "key").sortWithinPartitions("key").write.parquet(path)
+        ranges = self.spark.read.schema(self.schema).parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("keys"))
+        return {"path": path, "tier": tier, "files": [list(r) for r in ranges.orderBy("low").collect()]}
+
+    @property
+    def schema(self) -> str:
+        return f"key string, first_id {self.kind}"
+
+    def read(self, files: list[str] | None = None) -> DataFrame:
+        """Keys with their first ids in some files, or in all; a key may stand in several runs."""
+        files = [f[0] for run in self.runs for f in run["files"]] if files is None else files
+        return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
+
+    def files(self, spans: DataFrame) -> list[str]:
+        """Files of all runs whose range meets one of the spans ``low, high``. Each task finds them by bisection and gives each once."""
+        runs = [([f[1] for f in run["files"]], [f[2] for f in run["files"]], [f[0] for f in run["files"]]) for run in self.runs]
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: set[str] = set()
+            for batch in batches:
+                for low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for lows, highs, names in runs:
+                        found.update(names[bisect_left(highs, low) : bisect_right(lows, high)])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["file"])
+
+        return [r[0] for r in spans.select("low", "high").mapInArrow(meet, "file string").distinct().collect()]  # at most all files
+
+    def around(self, keys: DataFrame, new: bool = True) -> DataFrame:
+        """``root, key, first_id`` of the keys of history in the windows around ``keys``; the roots of ``keys`` are found among both.
+
+        With ``new`` false ``keys`` are of history themselves and are no roots of their own accord.
+        """
+        links = keys.select(F.col("key").alias("of"), F.explode(chain(F.col("key"))).alias("top"))
+        points = links.select("top").distinct()
+        held = self.read(self.files(points.select(F.col("top").alias("low"), F.col("top").alias("high")))).select(F.col("key").alias("top")).join(points, "top", "left_semi")
+        present = (held.union(keys.select("key")) if new else held).distinct()
+        roots = cut_lineage(links.join(present, "top").groupBy("of").agg(F.min_by("top", F.length("top")).alias("root")).select("root").distinct())
+        window = roots.select(F.col("root").alias("low"), F.when(F.col("root").startswith("/"), F.col("root")).otherwise(F.concat("root", F.lit("!"))).alias("high"))  # "!" follows the space between labels
+        inside = self.read(self.files(window)).withColumn("root", F.explode(chain(F.col("key")))).join(roots, "root", "left_semi")
+        return inside.groupBy("root", "key").agg(F.min("first_id").alias("first_id"))
+
+    def admit(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Takes a batch of ``id, key`` rows in; gives ``id, key, first_id`` of all of them and the ``key`` values whose company changed.
+
+        With a column ``batch`` (ordered, not null) the rows are several batches admitted in one go: each row meets
+        its own batch and those before it, as if they came one by one. A key has changed if the batch brought a
+        smaller id or a host above the company it had been of; ``settle`` gives its rows their first id anew.
+        """
+        rows = cut_lineage(rows if "batch" in rows.columns else rows.withColumn("batch", F.lit(0)))
+        by_batch = rows.groupBy("key", "batch").agg(F.min("id").alias("first_id"))
+        self.kind = rows.schema["id"].dataType.simpleString()
+        run = self._write(by_batch.groupBy("key").agg(F.min("first_id").alias("first_id")), rows.count(), 0)
+        mine = self.read([f[0] for f in run["files"]])
+        before = self.around(mine).cache() if self.runs and run["files"] else None
+        arrived = windows_by_batch(by_batch, before)
+        everything = mine.select("key", "first_id") if before is None else mine.select("key", "first_id").unionByName(before.select("key", "first_id")).groupBy("key").agg(F.min("first_id").alias("first_id"))
+        now = windows_by_batch(everything.withColumn("batch", F.lit(0)), None).select("key", F.col("first_id").alias("now"))
+        changed = arrived.join(now, "key").where("first_id <> now").select("key")
+        if before is not None:
+            was = before.groupBy("root").agg(F.min("first_id").alias("was"), F.max(F.col("key") == F.col("root")).alias("had"))
+            changed = changed.union(before.join(was, "root").join(now, "key").where("was <> now OR NOT had").select("key"))
+        found = rows.join(arrived, ["key", "batch"]).select("id", "key", "first_id", F.lit(True).alias("row"))
+        both = cut_lineage(found.unionByName(changed.distinct().select(F.lit(None).cast(self.kind).alias("id"), "key", F.lit(None).cast(self.kind).alias("first_id"), F.lit(False).alias("row"))))
+        if before is not None:
+            before.unpersist()
+        if run["files"]:
+            self._publish([*self.runs, run])
+            self._compact()
+        return both.where("row").drop("row"), both.where("NOT row").select("key")
+
+    def _compact(self) -> None:
+        """Merges the runs of each full tier; old folders go once the manifest no longer names them."""
+        tier = 0
+        while len(full := [r for r in self.runs if r["tier"] == tier]) >= self.fan:
+            keys = sum(f[3] for r in full for f in r["files"])
+            merged = self.read([f[0] for r in full for f in r["files"]]).groupBy("key").agg(F.min("first_id").alias("first_id"))
+            run = self._write(merged, keys, tier + 1)
+            self._publish([r for r in self.runs if r["tier"] != tier] + [run])
+            for r in full:
+                self.pointer.remove(r["path"])
+            tier += 1
+
+    def settle(self, rows: DataFrame, changed: DataFrame) -> DataFrame:
+        """``first_id, id`` of the admitted rows whose company has a smaller id by now; only rows of changed keys are looked up again."""
+        keys = cut_lineage(changed.distinct())
+        windows = self.around(keys, new=False)
+        firsts = windows.groupBy("root").agg(F.min("first_id").alias("now"))
+        now = windows.join(firsts, "root").select("key", "now")
+        return rows.join(now, "key", "left").select(F.coalesce("now", "first_id").alias("first_id"), "id").where("id > first_id")
+
+    def drop(self) -> None:
+        """Removes the folder."""
+        self.pointer.remove(self.folder)
+
+
+def duplicates(
+    df: DataFrame, shared_hosts: DataFrame, id_col: str = "candidate_id", url_col: str = "url", domain_col: str = "domain", batch: Column | None = None, at_once: int = 128, history: History | None = None, settled: bool = True
+) -> DataFrame:
+    """``first_id`` and ``id_col`` of each row whose company has a row with a smaller id.
 
-class History:
-    """Persisted runs of keys with their first ids, in a folder that all executors share.
+    Rows are admitted to ``history`` (a new one, removed at the end, if none is given) batch by batch, ``at_once``
+    consecutive values of ``batch`` in one go; rows without a batch come first, and without ``batch`` all rows are
+    one batch. The rows don't depend on ``at_once``. ``settled`` gives first ids as they are after the last batch,
+    else as they were at each row's own.
 
-    A run is stored by zone and sorted by key. ``admit`` adds one batch: it reads the batch, and of history
-    only the zones of the batch's keys, cut to the windows around them; rows admitted before are never read.
-    Runs are compacted into one after ``compact_after`` of them. A run counts once it is written whole; a batch
-    admitted again after a lost driver writes the same keys, and the smallest id wins.
+    Rows without a usable url and domain, and rows without id, are no case; rows repeated with one id are not
+    later than themselves; ties don't arise as ids order the rows. Empty tables give no row. Only the named
+    columns are read, so extra columns and their names don't matter.
     """
-
-    def __init__(self, spark, name: str, compact_after: int = 8, folder: str | None = None):
-        self.spark, self.compact_after = spark, compact_after
-        self.folder = f"{folder or shared_dir(spark)}/{name}"
-        self.runs: list[str] = []
-        self.written = 0
-
-    def _write(self, firsts: DataFrame) -> str:
-        path = f"{self.folder}/run_{self.written:06d}"
-        self.written += 1
-        placed = firsts.select("key", "first_id", zone(F.col("key")).alias("zone")).repartitionByRange("zone", "key").sortWithinPartitions("zone", "key")
-        placed.write.mode("overwrite").partitionBy("zone").parquet(path)
-        return path
-
-    def keys(self, zones: list[int] | None = None) -> DataFrame | None:
-        """Distinct keys of all runs, or of some zones, with their first ids."""
-        if not self.runs:
-            return None
-        parts = [self.spark.read.schema(self.schema).parquet(run) for run in self.runs]
-        rows = reduce(DataFrame.unionByName, parts)
-        if zones is not None:
-            rows = rows.where(F.col("zone").isin(zones))  # prunes folders
-        return rows.groupBy("key").agg(F.min("first_id").alias("first_id"))
-
-    def admit(self, rows: DataFrame) -> DataFrame:
-        """``first_id, id`` of the batch's rows whose company is known, from the batch or before it.
-
-        ``rows`` has ``id`` and ``key``. History is cut to the windows around the batch: a key of
-        history stays if it, or a host above it, is in the batch or is a host above one of the batch.
-        With a column ``batch`` (ordered, not null) the rows are several batches, admitted in one go: each row
-        meets its own batch and those before it, as if they came one by one.
-        """
-        rows = cut_lineage(rows)
-        mine = first_ids(rows)
-        self.schema = f"key string, first_id {mine.schema['first_id'].dataType.simpleString()}, zone int"
-        run = self._write(mine)
-        stored = self.spark.read.schema(self.schema).parquet(run)
-        mine, below = stored.select("key", "first_id"), None
-        if self.runs:
-            old = self.keys([r[0] for r in stored.select("zone").distinct().collect()])  # at most ZONES numbers
-            above = chain(F.col("key"))
-            tops = mine.select(F.explode(above).alias("top")).distinct()
-            around = old.join(tops, old.key == tops.top, "left_semi")
-            heads = mine.select(F.col("key").alias("top")).union(around.select("key")).distinct()
-            below = old.select("key", "first_id", F.explode(above).alias("top")).join(heads, "top", "left_semi").select("key", "first_id")
-            below = below.groupBy("key").agg(F.min("first_id").alias("first_id"))
-            mine = mine.unionByName(below).groupBy("key").agg(F.min("first_id").alias("first_id"))
-        if "batch" in rows.columns:
-            windows = windows_by_batch(rows.groupBy("key", "batch").agg(F.min("id").alias("first_id")), below)
-            found = cut_lineage(rows.join(windows, ["key", "batch"]).where(F.col("id") > F.col("first_id")).select("first_id", "id"))
-        else:
-            found = cut_lineage(known_rows(rows, company_windows(mine)))
-        self.runs.append(run)
-        if len(self.runs) > self.compact_after:
-            self.runs = [self._write(self.keys())]
-        return found
+    spark = df.sparkSession
+    own = history or History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    order = F.lit(0) if batch is None else F.coalesce(batch.cast("long"), F.lit(-(2**63)))
+    rows = cut_lineage(keyed_rows(df, shared_hosts, id_col, url_col, domain_col, order))
+    numbers = [r[0] for r in rows.select("batch").distinct().orderBy("batch").collect()]  # one number a batch
+    admitted = [own.admit(rows.where(F.col("batch").between(numbers[at], numbers[at : at + at_once][-1]))) for at in range(0, len(numbers), at_once)]
+    if not admitted:
+        return rows.select(F.col("id").alias("first_id"), F.col("id").alias(id_col)).limit(0)
+    found = reduce(DataFrame.unionByName, [a for a, _ in admitted])
+    if settled:
+        found = cut_lineage(own.settle(found, reduce(DataFrame.unionByName, [c for _, c in admitted])))
+    if history is None:
+        own.drop()
+    return found.where("id > first_id").select("first_id", F.col("id").alias(id_col))

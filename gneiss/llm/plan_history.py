@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.history import History, duplicates, keyed_rows, shared_tenants
+from gneiss.llm.history import duplicates
 from gneiss.session import table
 
-#: Consecutive intake batches that p4_arrivals admits in one go; the rows don't depend on it.
-BATCHES = 128
-
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "shared_hosts"))
+    """Every intake batch admitted to persisted runs; late roots settled at the end."""
+    return duplicates(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "shared_hosts"), batch=F.col("intake_batch"))
 
 
 def p4_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows known on arrival, each at its own intake batch, against persisted runs; rows without a batch come first."""
-    candidates = table(spark, sf_dir, "candidates")
-    tenants = shared_tenants(table(spark, sf_dir, "shared_hosts"))
-    batch = F.coalesce(F.col("intake_batch").cast("long"), F.lit(-(2**63)))
-    numbers = [r[0] for r in candidates.select(batch.alias("batch")).distinct().orderBy("batch").collect()]  # one number a batch
-    history = History(spark, f"p4-{uuid.uuid4().hex}", compact_after=2)
-    found = []
-    for at in range(0, max(len(numbers), 1), BATCHES):
-        wanted = batch.between(numbers[at], numbers[at : at + BATCHES][-1]) if numbers else F.lit(True)
-        found.append(history.admit(keyed_rows(candidates.where(wanted), tenants, "candidate_id", "url", "domain", batch)))
-    return reduce(DataFrame.unionByName, found).select("first_id", F.col("id").alias("candidate_id"))
+    """The rows known on arrival, each at its own intake batch; rows without a batch come first."""
+    return duplicates(table(spark, sf_dir, "candidates"), table(spark, sf_dir, "shared_hosts"), batch=F.col("intake_batch"), settled=False)
 
 
 QUERIES = {"p4_found": p4_found, "p4_arrivals": p4_arrivals}
