@@ -13,16 +13,34 @@ from pyspark.sql import functions as F
 # Marks of navigation, prices, franchises, closures, and names of the market, case counting in the last.
 NAVIGATION = ("Skip to", "Open Menu", "Close Menu", "Toggle menu", "Log in", "Cart")
 BAR = " | "
-PRICE = r"[$€£¥]\s?\d|\d\s?(?:€|円|USD|EUR|JPY)"
+PRICE = r"\$\s?\d|\d+\.\d{2}"
 FRANCHISE = r"(?i)\bfranchis(?:e|ing|ee)\b|\bown a (?:franchise|location|store)\b"
 CLOSURE = r"(?iu)permanently closed|we have closed|has closed its doors|closed for good|(?:café|cafe|shop|store) has closed|opening soon|now hiring for our opening"
-STATES = "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
+STATES = (
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DC", "DE", "FL", "GA", "HI", "IA", "ID", "IL", "IN", "KS", "KY", "LA", "MA", "MD", "ME", "MI", "MN", "MO", "MS",
+    "MT", "NC", "ND", "NE", "NH", "NJ", "NM", "NV", "NY", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VA", "VT", "WA", "WI", "WV", "WY",
+)
+STATE_NAMES = (
+    "Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "Connecticut", "Delaware", "District of Columbia", "Florida", "Georgia", "Hawaii", "Idaho",
+    "Illinois", "Indiana", "Iowa", "Kansas", "Kentucky", "Louisiana", "Maine", "Maryland", "Massachusetts", "Michigan", "Minnesota", "Mississippi", "Missouri", "Montana",
+    "Nebraska", "Nevada", "New Hampshire", "New Jersey", "New Mexico", "New York", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Oregon", "Pennsylvania",
+    "Rhode Island", "South Carolina", "South Dakota", "Tennessee", "Texas", "Utah", "Vermont", "Virginia", "Washington", "West Virginia", "Wisconsin", "Wyoming",
+)
 MARKET = (rf"\b(?:{'|'.join(STATES)})\s+\d{{5}}\b", r"\bUnited States\b", r"\bU\.S\.A?\.?\b", r"\bUSA\b")
+#: The three readings of a market: screening is the narrowest, drafting takes a state's code after a comma as well.
+_AUDITED = (*MARKET, rf"\b(?:{'|'.join(STATE_NAMES)})\b", r"\bUS\b", r"\b[A-Za-z]{2}\.?,?\s+\d{5}\b")
+MARKETS = {"screen": MARKET, "audit": _AUDITED, "draft": (*_AUDITED, rf"(?i:,\s*(?:{'|'.join(STATES)})\b)")}
 
 
-def market_pattern(keywords: Iterable[str] = ()) -> str:
-    """Pattern of a market: its fixed names and the keywords, case counting."""
-    return "|".join([*MARKET, *(re.escape(k) for k in keywords if k)])
+def market_pattern(keywords: Iterable[str] = (), reading: str = "screen") -> str:
+    """Pattern of a market in one of the three readings: its fixed names and the keywords, case counting."""
+    return "|".join([*MARKETS[reading], *(re.escape(k) for k in keywords if k)])
+
+
+def market_column(keywords: Column, reading: str) -> Column:
+    """``market_pattern`` over a column of keyword lists."""
+    escaped = F.transform(F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: k != ""), lambda k: F.regexp_replace(k, r"([^\p{L}\p{N}_\s])", r"\\$1"))
+    return F.array_join(F.concat(F.array(*[F.lit(p) for p in MARKETS[reading]]), escaped), "|")
 
 
 def navigation_like(quote: Column) -> Column:
@@ -97,13 +115,16 @@ def keyword_snippets(pages: DataFrame, owner: str, order: str, keywords: Iterabl
 
 
 def claim_texts(claims: DataFrame, owner: str, order: str) -> DataFrame:
-    """One row per owner with the texts and urls of its claims by type, joined in order; urls once each."""
-    def of(kind: str, what: str, once: bool) -> Column:
-        items = F.transform(F.filter("_claims", lambda c: c["claim_type"] == kind), lambda c: c[what])
-        items = F.filter(items, lambda x: x.isNotNull() & (x != ""))
-        return F.array_join(F.array_distinct(items) if once else items, " / ")
+    """One row per owner with the texts and urls of its claims by type, joined in order; urls once each.
 
+    Claims are gathered by owner and type first, so a hot owner is three rows when the types come together.
+    """
     text = F.coalesce(F.when(F.col("evidence_text_ja") != "", F.col("evidence_text_ja")), F.col("evidence_text_original"))
-    grouped = claims.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(order, "claim_type", text.alias("text"), F.col("evidence_url").alias("url")))).alias("_claims"))
     kinds = ("product", "buyer_role", "target_market")
-    return grouped.select(owner, *[of(k, "text", False).alias(f"{k}_text") for k in kinds], *[of(k, "url", True).alias(f"{k}_urls") for k in kinds])
+    said = claims.select(owner, F.col("claim_type").isin(*kinds).alias("_known"), "claim_type", order, text.alias("_text"), F.col("evidence_url").alias("_url"))
+    said = said.withColumn("claim_type", F.when(F.col("_known"), F.col("claim_type")))
+    item = lambda name: F.when(F.col("claim_type").isNotNull() & (F.col(name) != ""), F.struct(order, name))
+    by_type = said.groupBy(owner, "claim_type").agg(F.sort_array(F.collect_list(item("_text"))).alias("_texts"), F.sort_array(F.collect_list(item("_url"))).alias("_urls"))
+    joined = by_type.select(owner, "claim_type", F.array_join("_texts._text", " / ").alias("_text"), F.array_join(F.array_distinct("_urls._url"), " / ").alias("_url"))
+    one = lambda kind, name: F.coalesce(F.max(F.when(F.col("claim_type") == kind, F.col(name))), F.lit(""))
+    return joined.groupBy(owner).agg(*[one(k, "_text").alias(f"{k}_text") for k in kinds], *[one(k, "_url").alias(f"{k}_urls") for k in kinds])

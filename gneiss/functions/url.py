@@ -21,12 +21,12 @@ TILDE_HOSTS = re.compile(r"(?:www\d*\.)?(?:nns\.ne\.jp|fruits\.jp)")
 SEGMENT_HOSTS = frozenset(("r.goope.jp", "yamanashi-machitsukuri.jp", "www.yamanashi-machitsukuri.jp"))
 # Hosts that don't identify one company's own site.
 SKIPPED_HOSTS = (
-    "facebook.com instagram.com twitter.com x.com tiktok.com youtube.com linkedin.com pinterest.com linktr.ee linkin.bio beacons.ai bio.site "
-    "yelp.com tripadvisor.com google.com goo.gl g.page maps.app.goo.gl foursquare.com opentable.com resy.com doordash.com ubereats.com "
-    "grubhub.com seamless.com postmates.com toasttab.com order.online squareup.com square.site clover.com chownow.com menufy.com slicelife.com "
-    "amazon.com etsy.com faire.com ebay.com wixsite.com weebly.com godaddysites.com blogspot.com wordpress.com business.site carrd.co "
-    "myshopify.com sites.google.com wikipedia.org openstreetmap.org"
-).split()
+    "facebook.com", "instagram.com", "twitter.com", "x.com", "tiktok.com", "youtube.com", "linkedin.com", "pinterest.com", "linktr.ee", "linkin.bio", "beacons.ai",
+    "bio.site", "yelp.com", "tripadvisor.com", "google.com", "goo.gl", "g.page", "maps.app.goo.gl", "foursquare.com", "opentable.com", "resy.com", "doordash.com",
+    "ubereats.com", "grubhub.com", "seamless.com", "postmates.com", "toasttab.com", "order.online", "squareup.com", "square.site", "clover.com", "chownow.com",
+    "menufy.com", "slicelife.com", "amazon.com", "etsy.com", "faire.com", "ebay.com", "wixsite.com", "weebly.com", "godaddysites.com", "blogspot.com", "wordpress.com",
+    "business.site", "carrd.co", "myshopify.com", "sites.google.com", "wikipedia.org", "openstreetmap.org",
+)
 SKIPPED_ZONES = (".edu", ".gov", ".mil")
 PATH_SAFE = "/%:@-._~!$&'()*+,;="
 QUERY_SAFE = "?" + PATH_SAFE
@@ -131,6 +131,11 @@ def same_site_columns(left: Column, right: Column) -> Column:
     return F.coalesce(F.when(shared, tenants).otherwise(plain), F.lit(False))
 
 
+def record_company(canonical: Column, final: Column) -> Column:
+    """Company key of a record: by its canonical url, else its final url; null where that can't be read."""
+    return url_identity(F.coalesce(F.when(canonical != "", canonical), F.when(final != "", final)))["company_key"]
+
+
 def host_in(host: Column, suffixes: list[str] | tuple[str, ...]) -> Column:
     """Whether a host is one of ``suffixes`` or below one."""
     pattern = "(^|[.])(" + "|".join(re.escape(s) for s in suffixes) + ")$"

@@ -13,8 +13,14 @@ MODES = {"standard": (50, 100), "batch": (1000, 5000)}
 
 
 def keywords(df: DataFrame) -> DataFrame:
-    """``campaign_id, keyword``: the product's own words; blank and null ones are left out, repeated ones stand once."""
-    words = F.array_distinct(F.filter(F.transform("product.keywords", lambda k: F.trim(k)), lambda k: k != ""))
+    """``campaign_id, keyword``: the product's own words, and a ``can_use`` campaign's words of screening where the table has them.
+
+    Blank and null ones are left out, repeated ones stand once.
+    """
+    none = F.array().cast("array<string>")
+    more = F.col("product_evidence.prescreen_keywords") if "prescreen_keywords" in df.schema["product_evidence"].dataType.names else none
+    every = F.concat(F.coalesce("product.keywords", none), F.coalesce(F.when(F.col("product_evidence.rule") == "can_use", more), none))
+    words = F.array_distinct(F.filter(F.transform(every, lambda k: F.trim(k)), lambda k: k != ""))
     return df.select("campaign_id", F.explode(words).alias("keyword"))
 
 

@@ -139,17 +139,20 @@ def _parents(kind: np.ndarray, row: np.ndarray, bad: np.ndarray):
     last = np.concatenate([first[1:], [True]])
     bad[row[depth < 0]] = True
     bad[row[last & ((depth + opens) != 0)]] = True
-    parent = np.full(len(kind), -1, np.int64)
     inner = np.where(closes, depth + 1, depth)
-    for level in range(int(inner.max(initial=0))):
-        openers = np.flatnonzero(opens & (depth == level))
-        within = np.flatnonzero(inner == level + 1)
-        if len(openers) and len(within):
-            found = np.searchsorted(openers, within) - 1
-            got = np.where(found >= 0, openers[np.maximum(found, 0)], -1)
-            wrong = (got < 0) | (row[got] != row[within])
-            bad[row[within[wrong]]] = True
-            parent[within] = np.where(wrong, -1, got)
+    stride = np.int64(len(kind) + 1)
+    openers = np.flatnonzero(opens)
+    code = np.sort(depth[openers] * stride + openers)  # openers level by level
+    parent = np.full(len(kind), -1, np.int64)
+    within = np.flatnonzero(inner > 0)
+    if len(code) and len(within):
+        found = np.searchsorted(code, (inner[within] - 1) * stride + within) - 1
+        level, got = np.divmod(code[np.maximum(found, 0)], stride)
+        wrong = (found < 0) | (level != inner[within] - 1) | (row[got] != row[within])
+        bad[row[within[wrong]]] = True
+        parent[within] = np.where(wrong, -1, got)
+    else:
+        bad[row[within]] = True
     return depth, parent, opens, closes
 
 
@@ -187,12 +190,15 @@ def _join(*parts) -> pa.Array:
     return pc.binary_join_element_wise(*parts, pa.scalar("", pa.large_string()))
 
 
-def flatten(texts: pa.Array, ids: np.ndarray, list_fields: Iterable[str], with_json: bool = False) -> pa.Table:
+def flatten(texts: pa.Array, ids: np.ndarray, list_fields: Iterable[str], with_json: bool = False, child: tuple[str, tuple[str, ...]] | None = None) -> pa.Table:
     """One row for each object that is an element of a list, at any depth.
 
     ``texts`` is a binary or string array, ``ids`` its row keys. Columns: ``row`` (the key),
     ``path``, ``parent_path`` (path of the nearest emitted object above, "" for the top),
-    ``json`` (the object's own text, only ``with_json``). Null, empty and unreadable texts give no row;
+    ``json`` (the object's own text, only ``with_json``). With ``child`` (name of a list, names of fields) only the
+    objects of lists of that name come out, with two columns for each field, cut from the buffer: its value as text
+    (a string without its quotes, else as written; null for null and where there is none) and whether it is a string.
+    Null, empty and unreadable texts give no row;
     a byte-order mark before the text is passed over; of repeated keys the last one counts.
     """
     fields = pa.array(sorted(list_fields), pa.large_string())
@@ -202,17 +208,36 @@ def flatten(texts: pa.Array, ids: np.ndarray, list_fields: Iterable[str], with_j
     frontier = (texts, ids[valid], pa.array([""] * len(valid), pa.large_string()), pa.array([""] * len(valid), pa.large_string()), np.zeros(len(valid), np.int8))
     out: list[pa.Table] = []
     while len(frontier[0]):
-        found, frontier = _round(*frontier, fields, with_json)
+        found, frontier = _round(*frontier, fields, with_json, child)
         out.append(found)
     schema = pa.schema([("row", pa.from_numpy_dtype(ids.dtype)), ("path", pa.large_string()), ("parent_path", pa.large_string()), ("json", pa.large_string())])
+    for i in range(len(child[1]) if child else 0):
+        schema = schema.append(pa.field(f"v{i}", pa.large_string())).append(pa.field(f"s{i}", pa.bool_()))
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
+def _values(data, pos, end, closer, kind, value, place, rows) -> tuple[pa.Array, pa.Array]:
+    """Text of the value tokens and whether they are strings, at their places among ``rows`` rows."""
+    text = kind[value] == STRING
+    start = pos[value] + text
+    stop = np.where((kind[value] == OPEN_O) | (kind[value] == OPEN_A), closer[value], end[value] - text)
+    raw = _slices(data, start, stop)
+    where = np.full(rows, -1, np.int64)
+    where[place] = np.arange(len(value))
+    said = pa.concat_arrays([_unescape(raw.filter(pa.array(text))), raw.filter(pa.array(~text)).cast(pa.large_string(), safe=False)])
+    nth = np.where(text, np.cumsum(text) - 1, text.sum() + np.cumsum(~text) - 1)
+    none = where < 0
+    taken = said.take(pa.array(np.where(none, 0, nth[where] if len(nth) else 0), mask=none))
+    strings = pa.array(text[where] if len(text) else np.zeros(rows, bool), mask=none)
+    null = pc.fill_null(pc.and_(pc.equal(taken, "null"), pc.invert(strings)), False)
+    return pc.if_else(null, pa.scalar(None, pa.large_string()), taken), strings
+
+
 #: How an object found at the top of a text counts: not as an element, as one, as the lone one of a list field.
 PLAIN, ELEMENT, LONE = 0, 1, 2
 
 
-def _round(texts, ids, prefix, above, role, fields, with_json):
+def _round(texts, ids, prefix, above, role, fields, with_json, child):
     offsets, data = _buffers(texts)
     if len(data) >= 3:  # a byte-order mark is blanked in place
         starts = offsets[:-1][np.diff(offsets) >= 3]
@@ -254,10 +279,7 @@ def _round(texts, ids, prefix, above, role, fields, with_json):
     node[opens] = True
     node[may_hold] = True
 
-    path_parts: list[pa.Array] = []
-    up_parts: list[pa.Array] = []
-    slot = np.full(len(kind), -1, np.int64)  # where a token's path stands among those made so far
-    made = 0
+    slot = np.full(len(kind), -1, np.int64)  # where a token's path stands among those of its level
     paths = ups = pa.array([], pa.large_string())
     emitted: list[tuple] = []
     following: list[tuple] = []
@@ -266,34 +288,54 @@ def _round(texts, ids, prefix, above, role, fields, with_json):
     in_array = in_array[kind[parent[in_array]] == OPEN_A]
     if len(in_array):
         ordinal[in_array] = _ordinals(kind, parent, in_array)
-    for level in range(int(depth.max(initial=-1)) + 1):
-        here = np.flatnonzero(node & (depth == level))
+    by_depth = np.flatnonzero(node)
+    by_depth = by_depth[np.argsort(depth[by_depth], kind="stable")]
+    cuts = np.searchsorted(depth[by_depth], np.arange(int(depth[by_depth[-1]]) + 2)) if len(by_depth) else np.zeros(1, np.int64)
+    # What each node adds to the path of its parent, and how it counts, for all levels at once.
+    in_a = ordinal[by_depth] >= 0
+    named = key_of[by_depth] >= 0
+    name = names.take(pa.array(np.where(named, key_of[by_depth], 0), mask=~named)) if len(key_at) else pa.nulls(len(by_depth), pa.large_string())
+    nth = pa.array(np.where(in_a, ordinal[by_depth], 0)).cast(pa.large_string())
+    tails = pc.if_else(pa.array(in_a), _join(pa.scalar("[", pa.large_string()), nth, pa.scalar("]", pa.large_string())), _join(pa.scalar(".", pa.large_string()), pc.fill_null(name, "")))
+    lone_of, element_of = np.zeros(len(by_depth), bool), in_a
+    if len(key_at):
+        lone_of[named] = is_list[key_of[by_depth[named]]]
+    dotless = np.zeros(len(kind), bool)  # an empty path gets no dot behind it
+    for level, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        here = by_depth[lo:hi]
         if level:
-            dead[here] |= dead[parent[here]]
-        here = here[~dead[here]]
+            live = ~(dead[here] | dead[parent[here]])
+            dead[here] = ~live
+        else:
+            live = ~dead[here]
+        all_live = live.all()
+        here = here if all_live else here[live]
         if not len(here):
-            continue
+            break  # what lies deeper lies in nothing that counts
         kinds = kind[here]
         if level == 0:
-            base, up = prefix.take(pa.array(row[here])), above.take(pa.array(row[here]))
+            rows_here = pa.array(row[here])
+            path, up = prefix.take(rows_here), above.take(rows_here)
             how = role[row[here]]
-            lone = how == LONE
-            element = how == ELEMENT
-            path = base
+            lone, element = how == LONE, how == ELEMENT
+            dotless[here] = pc.equal(pc.binary_length(path), 0).to_numpy(zero_copy_only=False)
         else:
-            base, up = paths.take(pa.array(slot[parent[here]])), ups.take(pa.array(slot[parent[here]]))
-            in_a = ordinal[here] >= 0
-            name = names.take(pa.array(np.where(in_a, 0, key_of[here]), mask=in_a))
-            dot = pc.if_else(pc.equal(pc.binary_length(base), 0), pa.scalar("", pa.large_string()), pa.scalar(".", pa.large_string()))
-            nth = pa.array(np.where(in_a, ordinal[here], 0)).cast(pa.large_string())
-            tail = pc.if_else(pa.array(in_a), _join(pa.scalar("[", pa.large_string()), nth, pa.scalar("]", pa.large_string())), _join(dot, pc.fill_null(name, "")))
-            path = _join(base, tail)
-            lone = np.zeros(len(here), bool)
-            lone[~in_a] = is_list[key_of[here[~in_a]]]
-            element = in_a
+            held = pa.array(slot[parent[here]])
+            up, tail = ups.take(held), tails.slice(lo, hi - lo)
+            lone, element = lone_of[lo:hi], element_of[lo:hi]
+            if not all_live:
+                tail, lone, element = tail.filter(pa.array(live)), lone[live], element[live]
+            bare = dotless[parent[here]] & ~element
+            if bare.any():
+                tail = pc.if_else(pa.array(bare), pc.utf8_slice_codeunits(tail, 1), tail)
+                dotless[here] = bare & pc.equal(pc.binary_length(tail), 0).to_numpy(zero_copy_only=False)
+            path = _join(paths.take(held), tail)
         texty = kinds == STRING
         counts = (kinds == OPEN_O) & (lone | element)
-        path = pc.if_else(pa.array((kinds == OPEN_O) & lone), _join(path, pa.scalar("[0]", pa.large_string())), path)
+        alone = (kinds == OPEN_O) & lone
+        if alone.any():
+            path = pc.if_else(pa.array(alone), _join(path, pa.scalar("[0]", pa.large_string())), path)
+            dotless[here] &= ~alone
         if counts.any():
             mask = pa.array(counts)
             emitted.append((here[counts], path.filter(mask), up.filter(mask)))
@@ -301,21 +343,36 @@ def _round(texts, ids, prefix, above, role, fields, with_json):
         if texty.any():
             mask = pa.array(texty)
             following.append((here[texty], path.filter(mask), up.filter(mask), np.where(lone, LONE, np.where(element, ELEMENT, PLAIN))[texty].astype(np.int8)))
-        slot[here] = made + np.arange(len(here))
-        made += len(here)
-        path_parts.append(path)
-        up_parts.append(up)
-        paths, ups = pa.concat_arrays(path_parts), pa.concat_arrays(up_parts)
+        slot[here] = np.arange(len(here))
+        paths, ups = path, up  # parents lie one level up
 
     tokens = np.concatenate([x[0] for x in emitted]) if emitted else np.zeros(0, np.int64)
     closer = np.zeros(len(kind), np.int64)
     shut = np.flatnonzero((kind == CLOSE_O) & (parent >= 0))
     closer[parent[shut]] = end[shut]
+    shut = np.flatnonzero((kind == CLOSE_A) & (parent >= 0))
+    closer[parent[shut]] = end[shut]
+    path = pa.concat_arrays([x[1] for x in emitted]) if emitted else pa.array([], pa.large_string())
+    up = pa.concat_arrays([x[2] for x in emitted]) if emitted else pa.array([], pa.large_string())
+    columns = {}
+    if child:
+        mine = pc.match_substring_regex(path, r"(?:^|\.)" + re.escape(child[0]) + r"(?:\[\d+\])+$")
+        path, up, tokens = path.filter(mine), up.filter(mine), tokens[mine.to_numpy(zero_copy_only=False)]
+        order = np.argsort(tokens)
+        for i, name in enumerate(child[1]):
+            at = coded.dictionary.index(name).as_py()
+            value = key_at[coded.indices.to_numpy() == at] + 2 if len(key_at) and at >= 0 else np.zeros(0, np.int64)
+            value = value[~dead[value]]
+            place = np.minimum(np.searchsorted(tokens[order], parent[value]), max(len(tokens) - 1, 0))
+            hit = tokens[order[place]] == parent[value] if len(tokens) else np.zeros(len(value), bool)
+            value, place = value[hit], order[place[hit]] if len(tokens) else place[:0]
+            columns[f"v{i}"], columns[f"s{i}"] = _values(data, pos, end, closer, kind, value, place, len(tokens))
     found = pa.table({
         "row": pa.array(ids[row[tokens]]),
-        "path": pa.concat_arrays([x[1] for x in emitted]) if emitted else pa.array([], pa.large_string()),
-        "parent_path": pa.concat_arrays([x[2] for x in emitted]) if emitted else pa.array([], pa.large_string()),
+        "path": path,
+        "parent_path": up,
         "json": _slices(data, pos[tokens], closer[tokens]).cast(pa.large_string(), safe=False) if with_json else pa.nulls(len(tokens), pa.large_string()),
+        **columns,
     })
     if not following:
         return found, (pa.array([], pa.large_binary()),) * 4 + (np.zeros(0, np.int8),)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.operators.batches import by_bytes
 from gneiss.operators.json_arrow import flatten
@@ -46,10 +48,8 @@ def nested_objects(df: DataFrame, id_col: str, json_col: str, list_fields: tuple
     return source.mapInArrow(run, schema)
 
 
-def _flat(part: pa.RecordBatch, fields: tuple[str, ...], with_json: bool) -> pa.Table:
-    import numpy as np
-
-    found = flatten(part.column("text"), np.arange(len(part)), fields, with_json)
+def _flat(part: pa.RecordBatch, fields: tuple[str, ...], with_json: bool, child: tuple[str, tuple[str, ...]] | None = None) -> pa.Table:
+    found = flatten(part.column("text"), np.arange(len(part)), fields, with_json, child)
     out = {
         "parent_id": part.column("id").take(found["row"].combine_chunks()),
         "path": found["path"].cast(pa.string()),
@@ -57,6 +57,8 @@ def _flat(part: pa.RecordBatch, fields: tuple[str, ...], with_json: bool) -> pa.
     }
     if with_json:
         out["json"] = found["json"].cast(pa.string())
+    for i in range(len(child[1]) if child else 0):
+        out |= {f"v{i}": found[f"v{i}"].cast(pa.string()), f"s{i}": found[f"s{i}"]}
     return pa.table(out)
 
 
@@ -65,14 +67,31 @@ def last_field(path: Column) -> Column:
     return F.regexp_extract(path, r"([^.\[\]]*)(?:\[\d+\])+$", 1)
 
 
-def child_table(objects: DataFrame, field: str, schema: str) -> DataFrame:
-    """One flat table of the objects in lists named ``field``; ``objects`` from ``nested_objects(with_json=True)``.
+def _typed(value: Column, text: Column, kind: T.DataType) -> Column:
+    """A value cut from JSON as a column: a string takes all but null, a nested type what reads as one, other types only what isn't written as a string."""
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.from_json(F.when(~text, value), kind)
+    return F.when(~text, value.try_cast(kind))
+
+
+def child_table(df: DataFrame, id_col: str, json_col: str, field: str, schema: str, list_fields: tuple[str, ...] = LIST_FIELDS) -> DataFrame:
+    """One flat table of the objects in lists named ``field``, with the fields of ``schema`` (DDL) cut from the Arrow buffers.
 
-    Columns: parent_id, path, parent_path, position, and the fields of ``schema`` (missing ones null).
+    Columns: parent_id, path, parent_path, position (in its list) and the fields. Missing fields, nulls and values
+    of another type than the column's are null; of repeated keys the last counts. Rows as ``nested_objects`` has them.
     """
-    parsed = F.from_json("json", schema)
-    return (
-        objects.where(last_field(F.col("path")) == field)
-        .select("parent_id", "path", "parent_path", F.regexp_extract("path", r"\[(\d+)\]$", 1).cast("int").alias("position"), parsed.alias("o"))
-        .select("parent_id", "path", "parent_path", "position", "o.*")
-    )
+    wanted = T.StructType.fromDDL(schema)
+    child = (field, tuple(wanted.names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                yield from _flat(part, tuple(list_fields), False, child).to_batches(max_chunksize=50_000)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    raw = "".join(f", v{i} string, s{i} boolean" for i in range(len(wanted)))
+    rows = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("text")).mapInArrow(run, f"parent_id {kind}, path string, parent_path string{raw}")
+    position = F.regexp_extract("path", r"\[(\d+)\]$", 1).cast("int").alias("position")
+    return rows.select("parent_id", "path", "parent_path", position, *[_typed(F.col(f"v{i}"), F.col(f"s{i}"), f.dataType).alias(f.name) for i, f in enumerate(wanted)])

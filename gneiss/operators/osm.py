@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -45,6 +46,31 @@ def overpass_query(tags: Sequence[tuple[str, str]], area: str, timeout: int = 18
     return "\n".join([*lines, ");", "out tags;", ""])
 
 
+def payload_fault(payload: str | None) -> str | None:
+    """Why a whole map answer is refused, None if it may be used: unreadable, without elements, incomplete, or with a malformed element."""
+    try:
+        answer = json.loads(payload) if payload else None
+    except (ValueError, RecursionError):
+        return "unreadable"
+    if not isinstance(answer, dict) or not isinstance(answer.get("elements"), list):
+        return "no elements"
+    if answer.get("remark"):
+        return "incomplete"
+    for e in answer["elements"]:
+        tags = e.get("tags") if isinstance(e, dict) else None
+        if not isinstance(tags, dict) or e.get("type") not in KINDS or type(e.get("id")) is not int or e["id"] <= 0 or not all(isinstance(v, str) for v in tags.values()):
+            return "malformed element"
+    return None
+
+
+def payload_elements(payloads: DataFrame) -> DataFrame:
+    """``source, ord, type, id, tags`` of map answers (``source, payload``) that are sound as a whole; one bad element refuses all of its answer."""
+    fault = F.pandas_udf(lambda texts: texts.map(payload_fault), "string").asNondeterministic()
+    shape = "struct<elements:array<struct<type:string,id:bigint,tags:map<string,string>>>>"
+    sound_ones = payloads.withColumn("_fault", fault("payload")).where("_fault IS NULL")
+    return sound_ones.select("source", F.posexplode(F.from_json("payload", shape)["elements"]).alias("ord", "e")).select("source", "ord", "e.*")
+
+
 def sound(kind: Column, number: Column, tags: Column) -> Column:
     """Whether an element is a node, way or relation with a positive id and tags."""
     return F.coalesce(kind.isin(*KINDS) & (number > 0) & tags.isNotNull(), F.lit(False))
@@ -64,11 +90,11 @@ def _roots(raw: pd.Series) -> pd.Series:
     return raw.map(website_root)
 
 
-def collapse(elements: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
+def collapse(elements: DataFrame, wanted: Sequence[tuple[str, str]], most_places: int | None = None) -> DataFrame:
     """One candidate per company from elements with ``ord, type, id, tags``: its root url, name, address, places and tags.
 
     The first element of a company gives name and address; places counts its elements; tags are distinct in the order
-    of the wanted pairs. Elements without a website, with a skipped host or a shared host without tenant give none.
+    of the wanted pairs. ``most_places`` leaves out companies with more. Elements without a website, with a skipped host or a shared host without tenant give none.
     """
     tag = lambda key: F.try_element_at("tags", F.lit(key))
     site = F.coalesce(F.when(tag("website") != "", tag("website")), tag("contact:website"))
@@ -82,4 +108,5 @@ def collapse(elements: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFram
     hits = [F.max(F.array_contains(F.col("_matched"), f"{k}={v}")).alias(f"_{i}") for i, (k, v) in enumerate(wanted)]
     grouped = rows.withColumn("_matched", matched_tags(F.col("tags"), wanted)).groupBy("company").agg(F.min_by(first, "ord").alias("_first"), F.min("ord").alias("ord"), F.count("*").alias("locations"), *hits)
     tags = F.filter(F.array(*[F.when(F.col(f"_{i}"), F.lit(f"{k}={v}")) for i, (k, v) in enumerate(wanted)]), lambda x: x.isNotNull()) if wanted else F.array().cast("array<string>")
+    grouped = grouped if most_places is None else grouped.where(F.col("locations") <= most_places)
     return grouped.select("company", "ord", "_first.*", "locations", tags.alias("matched_tags"))

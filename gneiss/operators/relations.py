@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions.text import REPLACEMENT, collapsed, corrupt
 from gneiss.session import cut_lineage
 
 
@@ -109,18 +110,40 @@ def set_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return both.groupBy(*keys).agg(F.sum("_l").alias("left_rows"), F.sum("_r").alias("right_rows")).where("left_rows <> right_rows")
 
 
+def evidence_pages(pages: DataFrame) -> DataFrame:
+    """``url, text`` (in normal white space) of the pages that can hold evidence: an answer of 2xx, a text that is there, neither unresolved nor corrupt.
+
+    ``pages`` has url, text, status_code and content_quality; a null status is no answer.
+    """
+    unresolved = F.coalesce(F.lower(F.trim("content_quality")) == "unresolved", F.lit(False))
+    good = F.col("status_code").between(200, 299) & ~unresolved & F.col("text").isNotNull() & ~corrupt(F.col("text"))
+    return pages.where(good & F.col("url").isNotNull()).select("url", collapsed(F.col("text")).alias("text"))
+
+
 def evidence(claims: DataFrame, pages: DataFrame) -> DataFrame:
-    """Claims whose quote stands literally on a page of their url: a left semi join on url with the substring test as residue."""
-    there = pages.where(F.col("text").isNotNull()).select(F.col("url").alias("_url"), F.col("text").alias("_text"))
-    quoted = claims.where(F.col("quote").isNotNull() & (F.trim("quote") != ""))
-    return quoted.join(there, (F.col("url") == F.col("_url")) & F.expr("contains(_text, quote)"), "left_semi")
+    """Claims whose quote stands on an evidence page of their url, white space and invisible characters aside.
+
+    A left semi join on url with the substring test as residue. Blank quotes and quotes with damaged characters are no evidence.
+    """
+    there = evidence_pages(pages).select(F.col("url").alias("_url"), F.col("text").alias("_text"))
+    quoted = claims.withColumn("_quote", collapsed(F.col("quote"))).where((F.col("_quote") != "") & ~F.contains("_quote", F.lit(REPLACEMENT)))
+    return quoted.join(there, (F.col("url") == F.col("_url")) & F.expr("contains(_text, _quote)"), "left_semi").drop("_quote")
 
 
 def locate(claims: DataFrame, pages: DataFrame, scope: str) -> DataFrame:
-    """``claim_id, pages``: on how many pages of its scope a claim's quote stands; claims found nowhere have 0."""
-    there = pages.where(F.col("text").isNotNull()).select(F.col(scope).alias("_scope"), F.col("text").alias("_text"))
-    found = claims.join(there, (F.col(scope) == F.col("_scope")) & F.expr("contains(_text, quote)"), "left")
-    return found.groupBy("claim_id").agg(F.count("_scope").alias("pages"))
+    """``claim_id, pages, source, outcome``: where in its scope a claim's quote stands.
+
+    ``claims`` has claim_id (unique), quote, url (the page a claim names, or null) and the scope; ``pages`` has url, text and the
+    scope, cut to usable pages. ``pages`` counts the pages with the quote. Outcomes: ``named`` (on the page the claim names),
+    ``elsewhere`` (a page is named and the quote isn't on it), ``one``, ``none``, ``many``; ``source`` is the page for named and one.
+    """
+    there = pages.where(F.col("text").isNotNull()).select(F.col(scope).alias("_scope"), F.coalesce("url", F.lit("")).alias("_url"), collapsed(F.col("text")).alias("_text"))
+    sought = claims.withColumn("_quote", F.coalesce(collapsed(F.col("quote")), F.lit("")))
+    found = sought.join(there, (F.col(scope) == F.col("_scope")) & (F.col("_quote") != "") & F.expr("contains(_text, _quote)"), "left")
+    counted = found.groupBy("claim_id").agg(F.count("_url").alias("pages"), F.max("url").alias("named"), F.max(F.coalesce(F.col("_url") == F.col("url"), F.lit(False))).alias("hit"), F.max("_url").alias("any"))
+    outcome = F.when(F.col("named").isNotNull() & (F.col("named") != ""), F.when(F.col("hit"), "named").otherwise("elsewhere")).when(F.col("pages") == 0, "none").when(F.col("pages") == 1, "one").otherwise("many")
+    counted = counted.withColumn("outcome", outcome)
+    return counted.select("claim_id", "pages", F.when(F.col("outcome") == "named", F.col("named")).when(F.col("outcome") == "one", F.col("any")).alias("source"), "outcome")
 
 
 def coverage(df: DataFrame, group: str, item: str, wanted: Sequence[str]) -> DataFrame:
@@ -189,6 +212,31 @@ def precision(df: DataFrame, right: Column, threshold: float) -> DataFrame:
     return counted.withColumn("precision", share).withColumn("passed", F.coalesce(share >= threshold, F.lit(False)))
 
 
+def evaluated(df: DataFrame, verdict: str, good: str, bad: str, expected: int, threshold: float) -> DataFrame:
+    """``precision`` of a labelled sample; ValueError for another number of rows than ``expected`` and for labels that are neither good nor bad."""
+    rows, open_labels = df.agg(F.count("*"), F.count_if(~F.coalesce(F.col(verdict).isin(good, bad), F.lit(False)))).first()
+    if rows != expected:
+        raise ValueError(f"{expected} labelled rows are expected, not {rows}")
+    if open_labels:
+        raise ValueError(f"{open_labels} labels are neither {good} nor {bad}")
+    return precision(df, F.col(verdict) == good, threshold)
+
+
+def contact_forms(pages: DataFrame, visits: DataFrame | None, company: str, order: str) -> DataFrame:
+    """``company, url, verification, position``: forms found on a company's readable pages, then links to forms elsewhere, once each in the order met.
+
+    ``pages`` has company, url, has_form, status_code, content_quality and the order; ``visits`` (of ``replay``) has company, attempt and contacts.
+    """
+    readable = F.col("status_code").between(200, 299) & (F.lower(F.trim("content_quality")) == "readable") & F.col("has_form") & F.col("url").isNotNull()
+    forms = pages.where(readable).groupBy(company, "url").agg(F.min(order).cast("bigint").alias("_at")).withColumn("_part", F.lit(0))
+    if visits is not None:
+        linked = visits.select(company, "attempt", F.posexplode("contacts").alias("_n", "url")).groupBy(company, "url").agg(F.min(F.col("attempt").cast("bigint") * 1_000_000 + F.col("_n")).alias("_at"))
+        forms = forms.unionByName(linked.withColumn("_part", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy(company).orderBy("_part", "_at", "url"))
+    kind = F.when(F.col("_part") == 0, "form_found").otherwise("linked_from_official_site")
+    return forms.select(company, "url", kind.alias("verification"), nth.cast("bigint").alias("position"))
+
+
 def first_sources(df: DataFrame, owner: str, items: str, order: str, source: str) -> DataFrame:
     """Each distinct item of an owner's lists with the source it came from first."""
     single = df.select(owner, order, source, F.explode(items).alias("item")).where(F.col("item").isNotNull())

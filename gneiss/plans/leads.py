@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,18 +11,20 @@ from pyspark.sql import functions as F
 from gneiss.functions import evidence as E
 from gneiss.functions import text as T
 from gneiss.functions.html import parsed_page
-from gneiss.functions.url import plain_host, same_site_columns, url_identity, with_identity
+from gneiss.functions.url import SKIPPED_HOSTS, plain_host, record_company, refused_target, same_site_columns, url_identity, with_identity
 from gneiss.operators import campaigns as P
 from gneiss.operators import checks as C
 from gneiss.operators import links as L
 from gneiss.operators import osm as O
 from gneiss.operators import relations as R
+from gneiss.operators.fetched import choose_fetch
 from gneiss.operators.frontier import replay
-from gneiss.operators.nested import child_table, nested_objects
-from gneiss.operators.search import directory_like, ranked_results
+from gneiss.operators.nested import child_table
+from gneiss.operators.search import DIRECTORY_HOSTS, directory_like, ranked_results
+from gneiss.plans.nested import field_sql, of_list, walk_sql
 from gneiss.session import shared_dir, spread, table
-from gneiss.sources.sinks import Snapshots
-from gneiss.streaming.incremental import arrivals
+from gneiss.sources.sinks import NewestRows
+from gneiss.streaming.incremental import arrivals, keep_counts
 
 Query = tuple[str, str | None]
 QUERIES: dict = {}
@@ -86,7 +89,36 @@ def directory_mark(spark: SparkSession, sf: str) -> DataFrame:
     return _hosted(spark, sf).select("candidate_id", "company", directory_like(F.col("url"), ["hakoniwa.example", "borealis.test"]).alias("directory_like"))
 
 
-@query()
+def _stripped_sql(column: str) -> str:
+    return rf"regexp_replace(regexp_replace({column}, '^[\s\p{{Z}}\x0b\x1c-\x1f]+', ''), '[\s\p{{Z}}\x0b\x1c-\x1f]+$', '')"
+
+
+def _urls_sql(source: str) -> str:
+    """CTEs up to ``urls``: the columns of ``source`` (which has raw) with scheme, host, port, path and query of readable addresses."""
+    space = r"[\s\p{Z}\x1c-\x1f\x85]"
+    safe = "[A-Za-z0-9_.~/%:@!$&''()*+,;=-]"
+    coded = lambda c, more: f"coalesce(array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN regexp_full_match(x, '{safe}{more}') THEN x ELSE url_encode(x) END), ''), '')"
+    return rf"""u0 AS (SELECT *, regexp_replace(regexp_replace(raw, '^{space}+', ''), '{space}+$', '') AS s FROM ({source}) WHERE raw IS NOT NULL),
+    u1 AS (SELECT *, lower(regexp_extract(s, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS said, regexp_replace(s, '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS rest FROM u0),
+    u2 AS (SELECT *, CASE WHEN said = '' THEN 'https' ELSE said END AS scheme, CASE WHEN rest LIKE '//%' THEN regexp_extract(rest, '^//([^/?#]*)', 1) ELSE '' END AS net0,
+        regexp_replace(CASE WHEN rest LIKE '//%' THEN regexp_replace(rest, '^//[^/?#]*', '') ELSE rest END, '#.*$', '', 's') AS tail FROM u1),
+    u3 AS (SELECT *, regexp_replace(regexp_replace(tail, '\?.*$', '', 's'), ';[^/]*$', '') AS path0, CASE WHEN contains(tail, '?') THEN regexp_replace(tail, '^[^?]*\?', '', 's') ELSE '' END AS query0 FROM u2),
+    u4 AS (SELECT *, CASE WHEN net0 = '' THEN regexp_extract(path0, '^([^/]*)', 1) ELSE net0 END AS net,
+        CASE WHEN net0 = '' THEN regexp_replace(regexp_replace(path0, '^[^/]*', ''), ';[^/]*$', '') ELSE path0 END AS path1, CASE WHEN net0 = '' THEN '' ELSE query0 END AS query1 FROM u3),
+    u5 AS (SELECT *, regexp_replace(net, '^.*@', '') AS spot FROM u4),
+    urls AS (SELECT * EXCLUDE (raw, s, said, rest, net0, tail, path0, query0, net, spot, path1, query1), raw, rtrim(lower(regexp_extract(spot, '^([^:]*)', 1)), '.') AS host, regexp_extract(spot, '^[^:]*:(.*)$', 1) AS port,
+        {coded("CASE WHEN path1 = '' THEN '/' ELSE path1 END", '')} AS path, {coded('query1', '|[?]')} AS query FROM u5 WHERE rtrim(regexp_extract(spot, '^([^:]*)', 1), '.') <> '' AND regexp_full_match(regexp_extract(spot, '^[^:]*:(.*)$', 1), '[0-9]*'))"""
+
+
+_AUTHORITY = "host || CASE WHEN port = '' OR (scheme = 'http' AND port::INT = 80) OR (scheme = 'https' AND port::INT = 443) THEN '' ELSE ':' || port::INT END"
+
+
+@query(
+    f"""WITH {_urls_sql("SELECT candidate_id, url AS raw FROM candidates")}
+    SELECT c.candidate_id, scheme || '://' || {_AUTHORITY} || CASE WHEN path LIKE '/%' THEN '' ELSE '/' END || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical, scheme, host,
+    regexp_replace(host, '^www\\.', '') AS domain_key, regexp_replace(host, '^www\\.', '') AS company_key, scheme || '://' || {_AUTHORITY} || '/' AS root_url,
+    CASE WHEN host IS NOT NULL THEN false END AS shared, CASE WHEN host IS NOT NULL THEN '' END AS tenant FROM candidates c LEFT JOIN urls u ON u.candidate_id = c.candidate_id"""
+)
 def url_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical url, company key and root of every candidate."""
     return table(spark, sf, "candidates").select("candidate_id", url_identity(F.col("url")).alias("i")).select("candidate_id", "i.*")
@@ -146,20 +178,34 @@ def _claims(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "audit").select(F.col("audit_id").alias("claim_id"), "canonical_url", F.col("evidence_url").alias("url"), F.col("evidence_text_original").alias("quote"))
 
 
-@query("SELECT audit_id AS claim_id FROM audit a WHERE trim(evidence_text_original) <> '' AND EXISTS (SELECT 1 FROM crawls c WHERE c.url = a.evidence_url AND contains(c.text, a.evidence_text_original))")
+def _collapsed_sql(column: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({column}, '[\x{{e000}}-\x{{f8ff}}\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g'), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+_EVIDENCE_PAGES = f"""SELECT url, {_collapsed_sql("text")} AS text FROM crawls WHERE status_code BETWEEN 200 AND 299 AND NOT coalesce(lower(trim(content_quality)) = 'unresolved', false)
+    AND length(text) - length(replace(text, chr(65533), '')) <= greatest(3, length(text) // 50)"""
+
+
+@query(
+    f"""WITH p AS ({_EVIDENCE_PAGES}), a AS (SELECT audit_id, evidence_url, {_collapsed_sql("evidence_text_original")} AS q FROM audit)
+    SELECT audit_id AS claim_id FROM a WHERE q <> '' AND NOT contains(q, chr(65533)) AND EXISTS (SELECT 1 FROM p WHERE p.url = a.evidence_url AND contains(p.text, a.q))"""
+)
 def claim_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Claims whose quote stands literally on a page of their url."""
-    return R.evidence(_claims(spark, sf), table(spark, sf, "crawls").select("url", "text")).select("claim_id")
+    """Claims whose quote stands on an evidence page of their url."""
+    return R.evidence(_claims(spark, sf), table(spark, sf, "crawls").select("url", "text", "status_code", "content_quality")).select("claim_id")
 
 
 @query(
-    """SELECT a.audit_id AS claim_id, count(c.crawl_id) AS pages FROM (SELECT * FROM audit WHERE trim(evidence_text_original) <> '') a
-    LEFT JOIN crawls c ON c.canonical_url = a.canonical_url AND contains(c.text, a.evidence_text_original) GROUP BY a.audit_id"""
+    f"""WITH p AS (SELECT canonical_url, coalesce(url, '') AS url, {_collapsed_sql("text")} AS text FROM crawls WHERE {_USABLE}),
+    a AS (SELECT audit_id, canonical_url, CASE WHEN audit_id % 2 = 0 THEN evidence_url END AS named, coalesce({_collapsed_sql("evidence_text_original")}, '') AS q FROM audit),
+    f AS (SELECT a.audit_id, max(named) AS named, count(p.url) AS pages, coalesce(bool_or(p.url = named), false) AS hit, max(p.url) AS one FROM a LEFT JOIN p ON p.canonical_url = a.canonical_url AND q <> '' AND contains(p.text, q) GROUP BY a.audit_id),
+    o AS (SELECT *, CASE WHEN named <> '' THEN CASE WHEN hit THEN 'named' ELSE 'elsewhere' END WHEN pages = 0 THEN 'none' WHEN pages = 1 THEN 'one' ELSE 'many' END AS outcome FROM f)
+    SELECT audit_id AS claim_id, pages, CASE WHEN outcome = 'named' THEN named WHEN outcome = 'one' THEN one END AS source, outcome FROM o"""
 )
 def quote_locate(spark: SparkSession, sf: str) -> DataFrame:
-    """On how many pages of its company each quote stands."""
-    claims = _claims(spark, sf).where(F.trim("quote") != "")
-    return R.locate(claims, table(spark, sf, "crawls").select("canonical_url", "text"), "canonical_url")
+    """Where each quote stands among the usable pages of its company; claims with an even id name their page."""
+    claims = _claims(spark, sf).withColumn("url", F.when(F.col("claim_id") % 2 == 0, F.col("url")))
+    return R.locate(claims, table(spark, sf, "crawls").where(_usable()).select("canonical_url", "url", "text"), "canonical_url")
 
 
 @query(
@@ -172,13 +218,17 @@ def claim_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return R.coverage(table(spark, sf, "audit"), "canonical_url", "claim_type", CLAIM_TYPES)
 
 
+_AGE = "coalesce(epoch_us(checked_at), -1)"
+
+
 @query(
-    """SELECT min(crawl_id) AS first_position, arg_max(crawl_id, (checked_at, crawl_id)) AS crawl_id, url FROM crawls WHERE url IS NOT NULL AND checked_at IS NOT NULL GROUP BY url"""
+    f"""SELECT min(crawl_id) AS first_position, arg_max(crawl_id, ({_AGE}, crawl_id)) AS crawl_id, url FROM crawls WHERE url IS NOT NULL GROUP BY url
+    UNION ALL SELECT NULL, crawl_id, NULL FROM crawls WHERE url IS NULL"""
 )
 def recrawl_newest_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest fetch of each url at the place of its first."""
-    rows = table(spark, sf, "crawls").where("url IS NOT NULL AND checked_at IS NOT NULL").select("crawl_id", "url", "checked_at")
-    return R.newest_wins(rows, "url", "crawl_id", ["checked_at", "crawl_id"]).select("first_position", "crawl_id", "url")
+    """The newest fetch of each url at the place of its first; fetches without url are all kept, last."""
+    age = F.coalesce(F.unix_micros(F.col("checked_at").cast("timestamp")), F.lit(-1)).alias("age")
+    return R.newest_wins(table(spark, sf, "crawls").select("crawl_id", "url", age), "url", "crawl_id", ["age", "crawl_id"]).select("first_position", "crawl_id", "url")
 
 
 @query(
@@ -230,31 +280,45 @@ def _is_accepted() -> Column:
     return F.col("verification_status") == ACCEPTED
 
 
+def _identified(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with the company that their JSON names: by canonical url, else by final url."""
+    said = F.try_parse_json("record_json")
+    rows = table(spark, sf, "records").select("record_id", "run_name", "verification_status", *[F.try_variant_get(said, f"$.{c}", "string").alias(c) for c in ("canonical_url", "final_url")])
+    return rows.select("record_id", "run_name", "verification_status", record_company(F.col("canonical_url"), F.col("final_url")).alias("company"))
+
+
+_IDENTIFIED = f"""j AS (SELECT record_id, CASE WHEN json_valid(record_json) THEN record_json::JSON END AS v FROM records),
+    n AS (SELECT record_id, coalesce(nullif(CASE WHEN json_type(v->'canonical_url') = 'VARCHAR' THEN v->>'canonical_url' END, ''), nullif(CASE WHEN json_type(v->'final_url') = 'VARCHAR' THEN v->>'final_url' END, '')) AS raw FROM j),
+    {_urls_sql("SELECT * FROM n")},
+    r AS (SELECT r.record_id, run_name, verification_status, coalesce(verification_status = 'accepted', false) AS a, regexp_replace(host, '^www\\.', '') AS company FROM records r LEFT JOIN urls u ON u.record_id = r.record_id)"""
+
+
+@query(f"WITH {_IDENTIFIED} SELECT record_id, company FROM r")
+def record_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """The company of each record."""
+    return _identified(spark, sf).select("record_id", "company")
+
+
 @query(
-    "SELECT domain, run_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY run_name, record_id) AS n FROM records WHERE verification_status = 'accepted' AND domain IS NOT NULL AND run_name IS NOT NULL) WHERE n = 1"
+    f"WITH {_IDENTIFIED} SELECT company, run_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY run_name NULLS FIRST, record_id) AS n FROM r WHERE a AND company IS NOT NULL) WHERE n = 1"
 )
 def merge_runs_accepted(spark: SparkSession, sf: str) -> DataFrame:
-    """The accepted record of each domain from the first run that has one."""
-    rows = table(spark, sf, "records").where("run_name IS NOT NULL").select("domain", "run_name", "record_id", "verification_status")
-    return R.merge_runs(rows, "domain", "run_name", "record_id", _is_accepted()).drop("verification_status")
+    """The accepted record of each company from the first run that has one; records without a run come first."""
+    return R.merge_runs(_identified(spark, sf), "company", "run_name", "record_id", _is_accepted()).drop("verification_status")
 
 
-@query(
-    """SELECT domain, count(*) FILTER (coalesce(verification_status = 'accepted', false)) AS accepted, count(*) FILTER (NOT coalesce(verification_status = 'accepted', false)) AS other
-    FROM records WHERE domain IS NOT NULL GROUP BY domain HAVING accepted > 0 AND other > 0"""
-)
+@query(f"WITH {_IDENTIFIED} SELECT company, count(*) FILTER (a) AS accepted, count(*) FILTER (NOT a) AS other FROM r WHERE company IS NOT NULL GROUP BY company HAVING count(*) FILTER (a) > 0 AND count(*) FILTER (NOT a) > 0")
 def merge_run_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Domains accepted in one place and not in another."""
-    return R.run_conflicts(table(spark, sf, "records"), "domain", _is_accepted())
+    """Companies accepted in one place and not in another."""
+    return R.run_conflicts(_identified(spark, sf), "company", _is_accepted())
 
 
 @query(
-    """SELECT run_name, count(*) FILTER (a) AS accepted, count(*) FILTER (a AND n = 1) AS merged, count(*) FILTER (a) - count(*) FILTER (a AND n = 1) AS duplicates
-    FROM (SELECT run_name, coalesce(verification_status = 'accepted', false) AS a, row_number() OVER (PARTITION BY domain, coalesce(verification_status = 'accepted', false) ORDER BY run_name, record_id) AS n
-    FROM records WHERE domain IS NOT NULL AND run_name IS NOT NULL) GROUP BY run_name"""
+    f"""WITH {_IDENTIFIED} SELECT run_name, count(*) FILTER (a) AS accepted, count(*) FILTER (a AND n = 1) AS merged, count(*) FILTER (a) - count(*) FILTER (a AND n = 1) AS duplicates
+    FROM (SELECT run_name, a, row_number() OVER (PARTITION BY company, a ORDER BY run_name NULLS FIRST, record_id) AS n FROM r WHERE company IS NOT NULL) GROUP BY run_name"""
 )
 def merge_run_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return R.run_counts(table(spark, sf, "records").where("run_name IS NOT NULL"), "domain", "run_name", "record_id", _is_accepted())
+    return R.run_counts(_identified(spark, sf), "company", "run_name", "record_id", _is_accepted())
 
 
 @query("SELECT evidence_text_ja, count(*) AS rows FROM audit WHERE evidence_text_ja IS NOT NULL GROUP BY 1 HAVING count(*) >= 3")
@@ -270,7 +334,7 @@ def audit_flag_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""SELECT audit_id, contains(q, 'Skip to') OR contains(q, 'Open Menu') OR contains(q, 'Close Menu') OR contains(q, 'Toggle menu') OR contains(q, 'Log in') OR contains(q, 'Cart')
-    OR (contains(q, ' | ') AND NOT regexp_matches(q, '[$€£¥]\s?\d|\d\s?(?:€|円|USD|EUR|JPY)')) AS navigation,
+    OR (contains(q, ' | ') AND NOT regexp_matches(q, '\$\s?\d|\d+\.\d{2}')) AS navigation,
     NOT (contains(lower(q), 'miso') OR contains(lower(q), 'matcha')) OR len(list_filter(regexp_split_to_array(lower(q), '\s+'), lambda w: w <> '')) < 3 AS thin
     FROM (SELECT audit_id, evidence_text_original AS q FROM audit WHERE evidence_text_original IS NOT NULL)"""
 )
@@ -378,12 +442,26 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "crawls").where("url IS NOT NULL").select(F.col("canonical_url").alias("page_id"), F.col("crawl_id").alias("link_ord"), "url", path.alias("path"), F.col("title").alias("text"), F.lit(None).cast("string").alias("kind"))
 
 
-@query()
+def _has_any(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_LINKS = r"""SELECT canonical_url AS page_id, crawl_id AS link_ord, url, title, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) || ' ' || coalesce(title, '') AS said FROM crawls WHERE url IS NOT NULL"""
+_POLICY = r"""(regexp_matches(h, '\bcookies?[\s_-]*(policy|policies|notice|settings|preferences|consent)\b') OR (regexp_matches(regexp_replace(h, '[-_/]+', ' ', 'g'), '\bcookies?\b')
+    AND (regexp_matches(regexp_replace(h, '[-_/]+', ' ', 'g'), '\b(policy|policies|notice|settings|preferences|consent|richtlinien?|hinweise?|einstellungen)\b') OR lower(trim(coalesce(title, ''))) = 'how we use cookies')))"""
+_GROUP = f"CASE WHEN {_has_any('h', L.NO_EVIDENCE)} OR {_POLICY} THEN NULL " + " ".join(f"WHEN {_has_any('h', words)} THEN '{name}'" for name, words in L.GROUPS.items()) + " END"
+_GROUPED = f"g AS (SELECT *, {_GROUP} AS link_group FROM (SELECT *, lower(said) AS h FROM ({_LINKS})))"
+
+
+@query(f"WITH {_GROUPED} SELECT link_ord, link_group FROM g")
 def page_link_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).select("link_ord", L.link_group(F.col("path"), F.col("text")).alias("link_group"))
 
 
-@query()
+@query(
+    f"""WITH {_GROUPED}, b AS (SELECT *, list_position({list(L.ORDER)}, link_group) AS rank, row_number() OVER (PARTITION BY page_id, link_group ORDER BY link_ord) AS best FROM g WHERE page_id IS NOT NULL AND list_contains({list(L.ORDER)}, link_group))
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY rank) AS INTEGER) AS position, url FROM b WHERE best = 1"""
+)
 def priority_links(spark: SparkSession, sf: str) -> DataFrame:
     """The best page of each group of a company, in the order of groups."""
     return L.priority_links(_links(spark, sf).where("page_id IS NOT NULL"))
@@ -398,29 +476,60 @@ def page_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("crawl_id", parsed_page(page, F.col("url")).alias("p")).select("crawl_id", "p.company_name", "p.emails", "p.content_quality", F.length("p.text").alias("length"))
 
 
-@query()
+_SEARCHED = (
+    walk_sql("SELECT 'candidates' AS t, candidate_id AS id, payload_json AS v FROM candidates")
+    + f""", s AS (SELECT *, {field_sql("query")}, CAST(regexp_extract(path, '\\[(\\d+)\\]$', 1) AS BIGINT) AS page FROM found WHERE {of_list("search_runs")}),
+    w AS (SELECT query, page, CASE WHEN json_type(v->'results') = 'VARCHAR' AND json_valid(v->>'results') THEN (v->>'results')::JSON ELSE v->'results' END AS a FROM s),
+    x AS (SELECT * FROM w WHERE json_type(a) = 'ARRAY'), y AS (SELECT query, page, a, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS n FROM x),
+    z AS (SELECT query, page * 20 + n + 1 AS rank, json_extract(a, '$[' || n || ']') AS v FROM y) SELECT query, rank, v->>'url' AS url, coalesce(v->>'title', '') AS title, coalesce(v->>'description', '') AS description,
+    regexp_matches({_host_sql("v->>'url'")}, '(^|[.])({"|".join(h.replace(".", "[.]") for h in DIRECTORY_HOSTS)})$') AS directory_like FROM z WHERE regexp_matches(v->>'url', '^https?://')"""
+)
+
+
+@query(_SEARCHED)
 def search_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Results found by discovery, ranked over pages."""
-    runs = nested_objects(table(spark, sf, "candidates"), "candidate_id", "payload_json", with_json=True).where("path LIKE '%search_runs[%]' AND json IS NOT NULL")
-    page = F.regexp_extract("path", r"\[(\d+)\]$", 1).cast("int")
-    payload = F.concat(F.lit('{"web":'), F.col("json"), F.lit("}"))
-    return ranked_results(runs.select(F.get_json_object("json", "$.query").alias("query"), page.alias("page"), payload.alias("payload")), 20)
+    runs = child_table(table(spark, sf, "candidates"), "candidate_id", "payload_json", "search_runs", "query string, results string")
+    payload = F.concat(F.lit('{"web":{"results":'), F.col("results"), F.lit("}}"))
+    return ranked_results(runs.select("query", F.col("position").alias("page"), payload.alias("payload")), 20)
 
 
-@query()
+_TAGS = ("shop=tea", "shop=deli", "cuisine=japanese")
+_TAG_HITS = "list_filter([" + ", ".join(f"CASE WHEN bool_or({'list_contains(list_transform(string_split(c, chr(59)), lambda x: trim(x)), ' + repr(v) + ')' if k == 'cuisine' else f'{k} = {v!r}'}) THEN '{k}={v}' END" for k, v in O.parse_tags(_TAGS)) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    walk_sql("SELECT 'candidates' AS t, candidate_id AS id, payload_json AS v FROM candidates")
+    + f""", e AS (SELECT id, path, v->>'type' AS kind, TRY_CAST(CASE WHEN json_type(v->'id') <> 'VARCHAR' THEN v->>'id' END AS BIGINT) AS nr, CASE WHEN json_type(v->'tags') = 'OBJECT' THEN v->'tags' END AS tags FROM found WHERE {of_list("osm_elements")}),
+    w AS (SELECT *, {_stripped_sql("string_split(" + _stripped_sql("coalesce(nullif(tags->>'website', ''), tags->>'contact:website')") + ", ';')[1]")} AS site, tags->>'shop' AS shop, tags->>'cuisine' AS c FROM e WHERE kind IN ('node', 'way', 'relation') AND nr > 0 AND tags IS NOT NULL),
+    {_urls_sql("SELECT id, path AS place, tags, shop, c, CASE WHEN contains(site, '://') THEN site ELSE 'https://' || site END AS raw FROM w WHERE site <> ''")},
+    k AS (SELECT *, regexp_replace(host, '^www[.]', '') AS company, scheme || '://' || {_AUTHORITY} || '/' AS root FROM urls WHERE scheme IN ('http', 'https') AND contains(host, '.') AND NOT contains(host, ' ')
+        AND NOT regexp_matches(host, '(^|[.])({"|".join(h.replace(".", "[.]") for h in SKIPPED_HOSTS)})$|[.](edu|gov|mil)$'))
+    SELECT company, arg_min(root, (id, place)) AS url, arg_min(coalesce(nullif(tags->>'name', ''), tags->>'brand', ''), (id, place)) AS name, count(*) AS locations, {_TAG_HITS} AS matched_tags FROM k GROUP BY company"""
+)
 def osm_collapse(spark: SparkSession, sf: str) -> DataFrame:
     """Companies of the map elements in candidates, with their number of places."""
-    objects = nested_objects(table(spark, sf, "candidates"), "candidate_id", "payload_json", with_json=True)
-    elements = child_table(objects, "osm_elements", "type string, id bigint, tags map<string,string>").withColumn("ord", F.struct("parent_id", "path"))
-    return O.collapse(elements, O.parse_tags(["shop=tea", "shop=deli", "cuisine=japanese"])).select("company", "url", "name", "locations", "matched_tags")
+    elements = child_table(table(spark, sf, "candidates"), "candidate_id", "payload_json", "osm_elements", "type string, id bigint, tags map<string,string>").withColumn("ord", F.struct("parent_id", "path"))
+    return O.collapse(elements, O.parse_tags(_TAGS)).select("company", "url", "name", "locations", "matched_tags")
 
 
-@query()
+_RESULTS = ("not_matched", "matched", "unclear")
+
+
+@query(
+    walk_sql("SELECT 'records' AS t, record_id AS id, record_json AS v FROM records")
+    + f""", o AS (SELECT record_id, list_distinct(list_filter(list_transform(excluded_types, lambda w: trim(w)), lambda w: w <> '')) AS wanted FROM records JOIN campaigns ON campaign_id = run_name),
+    c AS (SELECT id AS record_id, trim(v->>'type') AS type, coalesce(CASE WHEN json_type(v->'result') = 'VARCHAR' THEN v->>'result' END IN {_RESULTS}, false) AS good FROM found WHERE {of_list("exclusion_checks")} AND trim(v->>'type') <> ''),
+    h AS (SELECT record_id, type, count(*) AS n, bool_and(good) AS good FROM c GROUP BY ALL), j AS (SELECT h.*, list_contains(wanted, type) AS known FROM h JOIN o USING (record_id) WHERE len(wanted) > 0)
+    SELECT record_id, type, 'unknown' AS fault FROM j WHERE NOT known UNION ALL SELECT record_id, type, 'duplicate' FROM j WHERE known AND n > 1 UNION ALL SELECT record_id, type, 'invalid' FROM j WHERE known AND NOT good
+    UNION ALL SELECT record_id, type, 'missing' FROM (SELECT record_id, unnest(wanted) AS type FROM o) m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.record_id = m.record_id AND h.type = m.type)"""
+)
 def exclusion_faults(spark: SparkSession, sf: str) -> DataFrame:
-    """Records whose exclusion checks are missing, repeated, unknown or without a result."""
-    objects = nested_objects(table(spark, sf, "records"), "record_id", "record_json", with_json=True)
-    checks = child_table(objects, "exclusion_checks", "type string, result string")
-    return C.required_set(checks, "parent_id", "type", "result", ["自社製造", "競合"], ["not_matched", "matched", "unclear"])
+    """Records whose checks of what their campaign excludes are missing, repeated, unknown or without a result."""
+    checks = child_table(table(spark, sf, "records"), "record_id", "record_json", "exclusion_checks", "type string, result string").withColumnRenamed("parent_id", "record_id")
+    excluded = table(spark, sf, "campaigns").select(F.col("campaign_id").alias("run_name"), F.col("excluded_types").alias("wanted"))
+    owners = table(spark, sf, "records").select("record_id", "run_name").join(excluded, "run_name").select("record_id", "wanted")
+    return C.required_set(checks, "record_id", "type", "result", owners, _RESULTS)
 
 
 @query(
@@ -482,8 +591,93 @@ def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("ts", "event_type")
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf}/events.parque[t]").where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    store = Snapshots(spark, f"{folder}/table")
-    counted = arrivals(stream, "ts", "1 day", "1 day", "event_type")
-    run = counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: store.publish(batch)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
-    run.start().awaitTermination()
+    store = NewestRows(spark, f"{folder}/table", ["window", "event_type"], ["rows"])
+    keep_counts(arrivals(stream, "ts", "1 day", "1 day", "event_type"), store, f"{folder}/progress").awaitTermination()
     return store.current().select(F.col("window.start").cast("date").alias("day"), "event_type", "rows")
+
+
+def _bounds_sql(pattern: str) -> str:
+    """A pattern with word boundaries that know all letters, for an engine whose own know only ASCII."""
+    return re.sub(r"\\b(\)?)$", r"(?:$|[^\\p{L}\\p{N}_])\1", re.sub(r"^\\b", r"(?:^|[^\\p{L}\\p{N}_])", pattern))
+
+
+@query(
+    f"""WITH k AS (SELECT campaign_id AS run_name, array_to_string(list_transform(list_filter(coalesce(market.keywords, []), lambda w: w <> ''), lambda w: regexp_replace(w, '([^\\p{{L}}\\p{{N}}_\\s])', '\\\\\\1', 'g')), '|') AS words FROM campaigns),
+    p AS (SELECT crawl_id, run_name, text FROM crawls WHERE {_USABLE})
+    SELECT crawl_id, {", ".join(f"regexp_matches(text, $${'|'.join(map(_bounds_sql, E.MARKETS[r]))}$$ || CASE WHEN words = '' THEN '' ELSE '|' || words END) AS {r}" for r in E.MARKETS)} FROM p JOIN k USING (run_name)"""
+)
+def market_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a usable page names its campaign's market, in the three readings; campaigns are a configuration table of a dozen rows."""
+    words = table(spark, sf, "campaigns").select(F.col("campaign_id").alias("run_name"), *[E.market_column(F.col("market.keywords"), r).alias(r) for r in E.MARKETS])
+    pages = table(spark, sf, "crawls").where(_usable()).select("crawl_id", "run_name", "text")
+    return pages.join(words, "run_name").select("crawl_id", *[F.rlike("text", F.col(r)).alias(r) for r in E.MARKETS])
+
+
+@query(
+    """SELECT canonical_url, url, 'form_found' AS verification, row_number() OVER (PARTITION BY canonical_url ORDER BY met, url) AS position
+    FROM (SELECT canonical_url, url, min(crawl_id) AS met FROM crawls WHERE status_code BETWEEN 200 AND 299 AND lower(trim(content_quality)) = 'readable' AND has_form AND url IS NOT NULL GROUP BY 1, 2)"""
+)
+def contact_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The contact forms of each company, in the order its pages were read."""
+    return R.contact_forms(table(spark, sf, "crawls").select("canonical_url", "crawl_id", "url", "has_form", "status_code", "content_quality"), None, "canonical_url", "crawl_id")
+
+
+@query(
+    f"""WITH k AS (SELECT campaign_id AS run_name, list_filter(list_transform(product.keywords, lambda w: lower(trim(w))), lambda w: w <> '') AS words FROM campaigns),
+    c AS (SELECT run_name, canonical_url, bool_or(coalesce({_USABLE}, false)) AS read, bool_or(coalesce({_USABLE}, false) AND len(list_filter(words, lambda w: contains(lower(text), w))) > 0) AS hit FROM crawls JOIN k USING (run_name) WHERE canonical_url IS NOT NULL GROUP BY ALL)
+    SELECT run_name, count(*) AS crawled, count(*) FILTER (NOT read) AS without_page, count(*) FILTER (read AND NOT hit) AS without_product, count(*) FILTER (hit) AS to_assess FROM c GROUP BY run_name"""
+)
+def prescreen_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each campaign's companies, how many have no usable page, none that names the product, and how many are left to assess."""
+    words = P.keywords(table(spark, sf, "campaigns")).groupBy("campaign_id").agg(F.collect_list(F.lower("keyword")).alias("words")).withColumnRenamed("campaign_id", "run_name")
+    runs = table(spark, sf, "campaigns").select(F.col("campaign_id").alias("run_name")).join(words, "run_name", "left")
+    pages = table(spark, sf, "crawls").where("canonical_url IS NOT NULL").select("run_name", "canonical_url", F.coalesce(_usable(), F.lit(False)).alias("read"), F.lower("text").alias("low"))
+    hit = F.col("read") & F.coalesce(F.exists("words", lambda w: F.contains(F.col("low"), w)), F.lit(False))
+    companies = pages.join(runs, "run_name").groupBy("run_name", "canonical_url").agg(F.max("read").alias("read"), F.max(hit).alias("hit"))
+    return companies.groupBy("run_name").agg(F.count("*").alias("crawled"), F.count_if(~F.col("read")).alias("without_page"), F.count_if(F.col("read") & ~F.col("hit")).alias("without_product"), F.count_if("hit").alias("to_assess"))
+
+
+@query(
+    walk_sql("SELECT 'candidates' AS t, candidate_id AS id, payload_json AS v FROM candidates")
+    + f"""SELECT count(DISTINCT {field_sql("query").removesuffix(" AS query")}) AS queries, count(*) AS runs, CAST(sum(coalesce(CASE WHEN json_type(v->'results') = 'ARRAY' THEN json_array_length(v->'results') END, 0)) AS BIGINT) AS results FROM found WHERE {of_list("search_runs")}"""
+)
+def search_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries, runs and results of discovery."""
+    runs = child_table(table(spark, sf, "candidates"), "candidate_id", "payload_json", "search_runs", "query string, results array<string>")
+    return runs.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("runs"), F.sum(F.coalesce(F.size("results"), F.lit(0))).cast("bigint").alias("results"))
+
+
+@query(
+    """SELECT campaign_id, fault FROM (SELECT campaign_id, unnest(list_filter([CASE WHEN coalesce(trim(product.name) = '', true) THEN 'product.name' END, CASE WHEN coalesce(len(product.keywords) < 1, true) THEN 'product.keywords' END,
+    CASE WHEN coalesce(trim(market.name) = '', true) THEN 'market.name' END, CASE WHEN coalesce(len(market.keywords) < 1, true) THEN 'market.keywords' END, CASE WHEN coalesce(len(buyer_types) < 1, true) THEN 'buyer_types' END,
+    CASE WHEN NOT coalesce(product_evidence.rule IN ('already_handles', 'can_use'), false) THEN 'product_evidence.rule' END, CASE WHEN coalesce(trim(product_evidence.summary_ja) = '', true) THEN 'product_evidence.summary_ja' END,
+    CASE WHEN coalesce(research_mode, 'standard') NOT IN ('standard', 'batch') THEN 'research_mode' END,
+    CASE WHEN NOT coalesce(target_accepted, 50) BETWEEN 1 AND (CASE WHEN research_mode = 'batch' THEN 1000 ELSE 50 END) THEN 'target_accepted' END,
+    CASE WHEN NOT coalesce(max_candidates, 100) BETWEEN 1 AND (CASE WHEN research_mode = 'batch' THEN 5000 ELSE 100 END) OR coalesce(max_candidates, 100) < coalesce(target_accepted, 50) THEN 'max_candidates' END,
+    CASE WHEN NOT coalesce(max_pages_per_company, 5) BETWEEN 1 AND 5 THEN 'max_pages_per_company' END, CASE WHEN coalesce(research_mode, 'standard') = 'batch' AND NOT coalesce(batch_size, 50) BETWEEN 1 AND 100 THEN 'batch_size' END],
+    lambda x: x IS NOT NULL)) AS fault FROM campaigns)"""
+)
+def campaign_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with the form of each campaign."""
+    return P.faults(table(spark, sf, "campaigns"))
+
+
+@query(r"""SELECT candidate_id, regexp_matches(url, '^(?i)[\s]*https?://') AS web FROM candidates WHERE url IS NOT NULL AND regexp_matches(url, '^[a-z]+://[a-z0-9.-]+(/[a-z0-9/._-]*)?$')""")
+def fetch_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a plainly written address may be fetched as far as its scheme and port say."""
+    refused = F.pandas_udf(lambda urls: urls.map(refused_target), "string").asNondeterministic()
+    rows = table(spark, sf, "candidates").where(F.col("url").rlike("^[a-z]+://[a-z0-9.-]+(/[a-z0-9/._-]*)?$"))
+    return rows.select("candidate_id", refused("url").isNull().alias("web"))
+
+
+@query("SELECT url, final_url, status, fetched_with FROM (SELECT a.url, coalesce(b.url, a.url) AS final_url, coalesce(b.status, a.status) AS status, CASE WHEN b.url IS NULL THEN 'plain' ELSE 'rendered' END AS fetched_with FROM "
+       "(SELECT url, arg_min(status_code, crawl_id) AS status, arg_min(coalesce(length(trim(text)), 0), crawl_id) AS n, arg_min(coalesce(contains(lower(text), 'enable javascript') OR contains(lower(text), 'javascript is required'), false), crawl_id) AS asks, "
+       "arg_min(coalesce(length(text) - length(replace(text, chr(65533), '')) > greatest(3, length(text) // 50), false), crawl_id) AS bad FROM (SELECT * REPLACE (coalesce(status_code, -1) AS status_code) FROM crawls) WHERE url IS NOT NULL AND coalesce(fetched_with, '') <> 'browser' GROUP BY url) a "
+       "LEFT JOIN (SELECT url, arg_min(status_code, crawl_id) AS status FROM (SELECT * REPLACE (coalesce(status_code, -1) AS status_code) FROM crawls) WHERE url IS NOT NULL AND fetched_with = 'browser' GROUP BY url) b ON a.url = b.url AND a.status NOT IN (401, 403, 429) AND (a.status < 0 OR a.status >= 400 OR n < 200 OR asks OR bad))")
+def fetch_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of a url's first plain and first rendered fetch is used; -1 stands for no answer."""
+    rows = table(spark, sf, "crawls").where("url IS NOT NULL").withColumn("status_code", F.coalesce("status_code", F.lit(-1)))
+    first = F.min_by(F.struct("status_code", F.coalesce(F.trim("text"), F.lit("")).alias("text")), "crawl_id").alias("p")
+    shown = lambda df: df.groupBy("url").agg(first).select("url", F.col("url").alias("final_url"), F.col("p.status_code").alias("status"), F.lit("").alias("html"), F.col("p.text").alias("text"), F.col("p.text").alias("visible_text"))
+    browser = F.coalesce(F.col("fetched_with") == "browser", F.lit(False))
+    return choose_fetch(shown(rows.where(~browser)), shown(rows.where(browser))).select("url", "final_url", "status", "fetched_with")

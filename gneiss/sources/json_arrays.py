@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -22,6 +23,14 @@ def json_array(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFr
     return json_elements(spark, paths).select("file_ordinal", "pos", F.from_json("element", schema).alias("e")).select("file_ordinal", "pos", "e.*")
 
 
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that a pattern of any Hadoop file system names, in the order of their paths."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def json_elements(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """As ``json_array`` with each element as its JSON text, so that strings and objects may be mixed."""
     parts = [spark.read.text(p, wholetext=True).select(F.lit(i).alias("file_ordinal"), "value") for i, p in enumerate(paths)]
@@ -67,15 +76,17 @@ def latest_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
+@lru_cache(maxsize=1_000)
+def _rules(text: str) -> RobotFileParser:
+    rules = RobotFileParser()
+    rules.parse(text.splitlines())
+    return rules
+
+
 def robots_allow(robots: Column, status: Column, url: Column, agent: str) -> Column:
     """Whether robots rules let ``agent`` read a url: 401 and 403 on the rules deny, other failures and no rules allow."""
 
     def run(texts: pd.Series, urls: pd.Series) -> pd.Series:
-        def allowed(text, address):
-            rules = RobotFileParser()
-            rules.parse((text or "").splitlines())
-            return rules.can_fetch(agent, address or "/")
-
-        return pd.Series([allowed(t, u) for t, u in zip(texts, urls)], dtype=bool)
+        return pd.Series([_rules(t or "").can_fetch(agent, u or "/") for t, u in zip(texts, urls)], dtype=bool)
 
     return F.when(status.isin(401, 403), False).when(robots.isNull() | (status >= 400), True).otherwise(F.pandas_udf(run, "boolean")(robots, url))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import json
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -11,6 +13,9 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.session import cut_lineage
+from gneiss.sources.json_arrays import csv_rows
+
 
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, explicit nulls kept."""
@@ -54,6 +59,81 @@ def write_report(df: DataFrame, path: str) -> int:
     return n
 
 
+def write_labelled_report(df: DataFrame, path: str, key: str, labels: tuple[str, ...]) -> int:
+    """A report that keeps what people wrote into an earlier one at ``path``: the columns ``labels``, found again by ``key``.
+
+    Rows new to the report have empty labels; of rows repeated in the earlier report the last one counts. The new
+    file takes the place of the old one once it is whole.
+    """
+    kept = df.select(*[c for c in df.columns if c not in labels])
+    if os.path.exists(path):
+        spark = df.sparkSession
+        old = csv_rows(spark, path, key).withColumn("_n", F.monotonically_increasing_id())
+        old = old.select(key, "_n", *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in old.columns else F.lit("").alias(c) for c in labels])
+        old = old.groupBy(key).agg(*[F.max_by(c, "_n").alias(c) for c in labels])
+        kept = kept.join(old, key, "left")
+        made = kept.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in labels else F.col(c) for c in [*[c for c in df.columns if c not in labels], *labels]])
+    else:
+        made = kept.select("*", *[F.lit("").alias(c) for c in labels])
+    n = write_report(made, f"{path}.new")
+    os.replace(f"{path}.new", path)
+    return n
+
+
+class Parts:
+    """A table that only grows, as a list of parts behind a pointer: adding writes the new rows and nothing else."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._pointer = Pointer(spark, folder)
+
+    def current(self) -> DataFrame | None:
+        parts = (self._pointer.read() or "").split()
+        return self.spark.read.parquet(*[f"{self.folder}/{p}" for p in parts]) if parts else None
+
+    def add(self, df: DataFrame) -> None:
+        """A failure before the pointer is renamed leaves the table as it was."""
+        part = f"p-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{part}")
+        self._pointer.publish(" ".join([*(self._pointer.read() or "").split(), part]))
+
+
+class NewestRows:
+    """The newest row per key, in ``buckets`` by the key's hash: a merge rewrites the buckets of its keys and leaves the others alone."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: list[str], age: list[str], buckets: int = 64):
+        self.spark, self.folder, self.key, self.age, self.buckets = spark, folder.rstrip("/"), key, age, buckets
+        self._pointer = Pointer(spark, folder)
+
+    def _state(self) -> dict[str, str]:
+        return json.loads(self._pointer.read() or "{}")
+
+    def _read(self, versions: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.folder}/{v}" for v in versions]) if versions else None
+
+    def current(self) -> DataFrame | None:
+        return self._read(sorted(self._state().values()))
+
+    def merge(self, rows: DataFrame) -> None:
+        """Merging the same rows again changes nothing. Null keys are one key."""
+        state = self._state()
+        placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+        row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+        newest = lambda df: df.groupBy("_bucket", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)]).agg(F.max_by(row, F.struct(*self.age)).alias("_row")).select("_bucket", "_row.*")
+        mine = cut_lineage(newest(placed))
+        touched = [r[0] for r in mine.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+        old = self._read([state[str(b)] for b in touched if str(b) in state])
+        if old is not None:
+            mine = newest(mine.unionByName(old.select(*rows.columns).withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))))
+        version = f"v-{uuid.uuid4().hex}"
+        mine.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
+        replaced = [state[str(b)] for b in touched if str(b) in state]
+        state |= {str(b): f"{version}/_bucket={b}" for b in touched}
+        self._pointer.publish(json.dumps(state))
+        for path in replaced:
+            self._pointer.remove(f"{self.folder}/{path}")
+
+
 class Pointer:
     """A small text in a shared folder of any Hadoop file system that is replaced at once, by renaming."""
 

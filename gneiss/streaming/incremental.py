@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gneiss.sources.sinks import Snapshots
+from gneiss.sources.sinks import NewestRows, Parts
 
 
 def remaining(work: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -16,29 +16,25 @@ def remaining(work: DataFrame, done: DataFrame | None, keys: list[str]) -> DataF
     return work if done is None else work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def resume(spark: SparkSession, work: DataFrame, keys: list[str], store: Snapshots, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Runs ``step`` on the remaining work and publishes old and new results together; a second call does nothing twice."""
-    done = store.current()
-    new = step(remaining(work, done, keys))
-    store.publish(new if done is None else done.unionByName(new))
+def resume(work: DataFrame, keys: list[str], store: Parts, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs ``step`` on the remaining work and adds its results as one part; a second call does nothing twice."""
+    store.add(step(remaining(work, store.current(), keys)))
     return store.current()
 
 
-def keep_newest(stream: DataFrame, key: str, age: list[str], store: Snapshots, checkpoint: str) -> StreamingQuery:
+def keep_newest(stream: DataFrame, store: NewestRows, checkpoint: str) -> StreamingQuery:
     """Stream of re-crawled rows into a table of the newest row per key.
 
-    Each micro-batch is reduced to its newest rows before it meets the table; replaying a batch changes nothing.
+    A micro-batch is reduced to its newest rows and rewrites the buckets of its keys; replaying a batch changes nothing.
     """
-
-    def merge(batch: DataFrame, _: int) -> None:
-        row = F.struct(*batch.columns)
-        old = store.current()
-        rows = batch if old is None else old.unionByName(batch)
-        store.publish(rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(*age)).alias("_row")).select("_row.*"))
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: store.merge(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def arrivals(stream: DataFrame, time: str, late: str, width: str, by: str) -> DataFrame:
-    """Rows per window of event time and group, closed once the watermark passes."""
+    """Rows per window of event time and group. In update or append mode the state of a window goes once the watermark passes it."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("rows"))
+
+
+def keep_counts(counted: DataFrame, store: NewestRows, checkpoint: str) -> StreamingQuery:
+    """Counts that a stream updates, each the last of its key; ``store`` has ``rows`` as its age, as counts only grow."""
+    return counted.writeStream.outputMode("update").foreachBatch(lambda batch, _: store.merge(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

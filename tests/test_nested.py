@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -92,10 +93,31 @@ def test_operator_keeps_ids_and_parents(spark):
     assert sorted((r.parent_id or -1, r.path, r.parent_path) for r in got.collect()) == [
         (-1, "[0]", ""), (7, "claims[0]", ""), (7, "claims[0]", ""), (7, "claims[0].sources[0]", "claims[0]"), (7, "claims[0].sources[0]", "claims[0]"),
     ]
-    claims = child_table(got, "claims", "type string, note string").collect()
+    claims = child_table(df, "record_id", "record_json", "claims", "type string, note string").collect()
     assert [(r.parent_id, r.position, r.type, r.note) for r in claims] == [(7, 0, "product", None)] * 2
 
 
+def test_depth_takes_linear_time():
+    took = []
+    for depth in (500, 2000):
+        texts = ['{"a":[' * depth + "1" + "]}" * depth] + ['{"claims":[{"x":1}]}'] * 2000
+        began = time.process_time()
+        assert len(pairs(texts)) == depth - 1 + 2000
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]  # four times the depth; sixty times it if each level met all tokens
+
+
+def test_child_fields_come_from_the_buffers(spark):
+    text = '{"claims":[{"type":"a\\n\\u00e9","n":5,"o":{"x":[1]},"m":{"k":"v"},"b":true},{"type":"q","type":"r","n":"7","b":"true"},3,{"type":null,"n":1.5}],"x":{"claims":{"type":12,"n":99999999999}},"t":"{\\"claims\\":[[{\\"type\\":\\"in\\"}]]}","claims2":[{"type":"no"}]}'
+    df = spark.createDataFrame([(1, text), (2, None), (3, "{bad"), (4, '{"claims":[]}')], "type bigint, n string")
+    got = child_table(df, "type", "n", "claims", "type string, n int, o string, m map<string,string>, b boolean, none string").collect()
+    assert [(r.path, r.position, r.type, r.n, r.o, r.m, r.b, r.none) for r in got] == [
+        ("claims[0]", 0, "a\né", 5, '{"x":[1]}', {"k": "v"}, True, None), ("claims[1]", 1, "r", None, None, None, None, None), ("claims[3]", 3, None, None, None, None, None, None),
+        ("x.claims[0]", 0, "12", None, None, None, None, None), ("t.claims[0][0]", 0, "in", None, None, None, None, None),
+    ]
+    assert child_table(df.limit(0), "type", "n", "claims", "a string").count() == 0
+
+
 @pytest.mark.parametrize("rows", [[]])
 def test_empty_table(spark, rows):
     df = spark.createDataFrame(rows, "record_id bigint, record_json string")

@@ -10,7 +10,7 @@ from gneiss.operators import osm as O
 from gneiss.operators import relations as R
 from gneiss.operators.search import ranked_results
 from gneiss.sources import json_arrays as J
-from gneiss.sources.sinks import Snapshots, report_csv, write_json, write_parts, write_report
+from gneiss.sources.sinks import NewestRows, Parts, Snapshots, report_csv, write_json, write_labelled_report, write_parts, write_report
 from gneiss.streaming.incremental import arrivals, keep_newest, remaining, resume
 
 
@@ -50,8 +50,13 @@ def test_joins(spark):
     assert rows(R.set_differences(base.select("k"), left, ["k"]), "k", "left_rows", "right_rows") == [(None, 0, 1)]
     claims = spark.createDataFrame([(1, "u", "b c", "s"), (2, "u", "x", "s"), (3, "v", "b", "s"), (4, "u", " ", "s"), (5, None, "b", "s")], "claim_id int, url string, quote string, scope string")
     pages = spark.createDataFrame([("u", "a b c", "s"), ("u", "b c d", "s"), ("v", None, "s")], "url string, text string, scope string")
-    assert rows(R.evidence(claims, pages), "claim_id") == [(1,)]
-    assert rows(R.locate(claims.where("claim_id < 4"), pages, "scope"), "claim_id", "pages") == [(1, 2), (2, 0), (3, 2)]
+    answered = pages.withColumns({"status_code": F.lit(200), "content_quality": F.lit(None).cast("string")})
+    assert rows(R.evidence(claims, answered), "claim_id") == [(1,)]
+    spaced = spark.createDataFrame([(1, "u", " b\u3000 c\u200b"), (2, "u", "b c\ufffd"), (3, "w", "b c"), (4, "x", "b c"), (5, "y", "b c"), (6, "z", "b c")], "claim_id int, url string, quote string")
+    odd = [("u", "a b\n c", 299, "ok"), ("w", "b c", 404, "ok"), ("x", "b c", None, "ok"), ("y", "b c", 200, " Unresolved"), ("z", "b c" + "\ufffd" * 4, 200, None)]
+    assert rows(R.evidence(spaced, spark.createDataFrame(odd, "url string, text string, status_code int, content_quality string")), "claim_id") == [(1,)]
+    named = spark.createDataFrame([(1, None, "b c", "s"), (2, None, "a b c", "s"), (3, "v", "a b", "s"), (4, "u", "a b", "s"), (5, "", "zz", "s"), (6, None, None, "s"), (7, None, "a b", None)], "claim_id int, url string, quote string, scope string")
+    assert rows(R.locate(named, pages, "scope")) == [(1, 2, None, "many"), (2, 1, "u", "one"), (3, 1, None, "elsewhere"), (4, 1, "u", "named"), (5, 0, None, "none"), (6, 0, None, "none"), (7, 0, None, "none")]
 
 
 def test_aggregates(spark):
@@ -156,8 +161,11 @@ def test_snapshots_and_resume(spark, tmp_path):
         seen.append(df.count())
         return df.withColumn("done", F.lit(True))
 
-    assert resume(spark, work, ["id"], store, step).count() == 2
-    assert resume(spark, work.unionByName(spark.createDataFrame([(3,)], "id int")), ["id"], store, step).count() == 3 and seen == [2, 1]
+    parts = Parts(spark, str(tmp_path / "p"))
+    assert parts.current() is None and resume(work, ["id"], parts, step).count() == 2
+    assert resume(work.unionByName(spark.createDataFrame([(3,)], "id int")), ["id"], parts, step).count() == 3 and seen == [2, 1]
+    for n in (2, 3, 3):
+        store.publish(spark.range(n))
     with pytest.raises(Exception):
         store.publish(work.select(F.raise_error(F.lit("lost"))))
     assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("v-")]) == 3  # the current, the one before, and the lost one
@@ -168,11 +176,14 @@ def test_streams(spark, tmp_path):
     source, schema = str(tmp_path / "in"), "url string, at timestamp, text string"
     first = spark.sql("SELECT 'u' AS url, timestamp'2025-01-01 00:00:00' AS at, 'old' AS text UNION ALL SELECT 'v', timestamp'2025-01-01 00:01:00', 'x'")
     first.write.parquet(source)
-    store = Snapshots(spark, str(tmp_path / "t"))
-    run = lambda: keep_newest(spark.readStream.schema(schema).parquet(source), "url", ["at"], store, str(tmp_path / "c")).awaitTermination()
+    store = NewestRows(spark, str(tmp_path / "t"), ["url"], ["at"], buckets=8)
+    run = lambda: keep_newest(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "c")).awaitTermination()
     run()
+    before = store._state()
     spark.sql("SELECT 'u' AS url, timestamp'2025-01-02 00:00:00' AS at, 'new' AS text").write.mode("append").parquet(source)
     run()
+    assert rows(store.current(), "url", "text") == [("u", "new"), ("v", "x")] and sum(before[k] != v for k, v in store._state().items()) == 1
+    store.merge(spark.sql("SELECT 'u' AS url, timestamp'2025-01-01 12:00:00' AS at, 'late' AS text"))
     assert rows(store.current(), "url", "text") == [("u", "new"), ("v", "x")]
     counted = arrivals(spark.readStream.schema(schema).parquet(source), "at", "1 hour", "1 day", "url")
     q = counted.writeStream.format("memory").queryName("arrivals").outputMode("complete").start()
@@ -207,10 +218,11 @@ def test_positions_across_ranges(spark):
 def test_required_sets(spark):
     from gneiss.operators import checks as C
 
-    df = spark.createDataFrame([(1, "a", "ok"), (1, "b", "no"), (2, "a", "ok"), (2, "a", "ok"), (2, "c", "ok"), (3, None, None), (4, "b", "odd"), (4, "a", None)], "k int, t string, r string")
-    got = rows(C.required_set(df, "k", "t", "r", ["a", "b"], ["ok", "no"]))
-    assert got == [(2, "a", "duplicate"), (2, "b", "missing"), (2, "c", "unknown"), (3, "a", "missing"), (3, "b", "missing"), (4, "a", "invalid"), (4, "b", "invalid")]
-    assert rows(C.all_reused(df, "k", "t", 3)) == [(1, 2), (4, 2)][:0] or rows(C.all_reused(df, "k", "t", 2)) == [(1, 2), (4, 2)]
+    df = spark.createDataFrame([(1, "a", "ok"), (1, " b ", "no"), (2, "a", "ok"), (2, "a", "ok"), (2, "c", "ok"), (3, None, None), (4, "b", "odd"), (4, "a", None), (9, "a", "ok")], "k int, t string, r string")
+    owners = spark.createDataFrame([(k, ["a", "b", " "]) for k in range(1, 6)] + [(6, []), (7, None), (8, ["a"])], "k int, wanted array<string>")
+    got = rows(C.required_set(df, "k", "t", "r", owners, ["ok", "no"]))
+    assert got == [(2, "a", "duplicate"), (2, "b", "missing"), (2, "c", "unknown"), (3, "a", "missing"), (3, "b", "missing"), (4, "a", "invalid"), (4, "b", "invalid"), (5, "a", "missing"), (5, "b", "missing"), (8, "a", "missing")]
+    assert rows(C.all_reused(df, "k", "t", 5)) == [(9, 5)] and rows(C.all_reused(df, "k", "t", 6)) == []
 
 
 def test_link_functions_agree(spark):
@@ -218,7 +230,7 @@ def test_link_functions_agree(spark):
     df = spark.createDataFrame(links, "p string, t string")
     group = L.link_group(F.col("p"), F.col("t"))
     got = [tuple(r) for r in df.select(group, F.when(group.isNotNull(), L.link_score(group, F.col("p"), F.col("t")))).collect()]
-    assert got == [(g, L.score_of(g, p, t) if g else None) for p, t in links for g in [L.group_of(p, t)]]
+    assert got == [("about", 0), ("menu", 9), (None, None), (None, None), (None, None), ("distribution", 0), (None, None), ("locations", 0)]
 
 
 def test_crawl_replay(spark):
@@ -263,6 +275,66 @@ def test_campaigns(spark):
     assert {r.fault for r in P.faults(df).collect() if r.campaign_id == "b"} == {
         "product.name", "product.keywords", "market.name", "market.keywords", "buyer_types", "product_evidence.rule", "product_evidence.summary_ja", "target_accepted", "max_candidates", "max_pages_per_company"}
     assert P.faults(df.where("campaign_id = 'a'")).count() == 0
+    more = df.withColumn("product_evidence", F.struct(F.lit("can_use").alias("rule"), F.lit("x").alias("summary_ja"), F.array(F.lit("latte"), F.lit("tea")).alias("prescreen_keywords")))
+    assert rows(P.keywords(more)) == [("a", "latte"), ("a", "tea"), ("b", "latte"), ("b", "tea")]
+
+
+def test_labels_survive_a_new_report(spark, tmp_path):
+    path = str(tmp_path / "r.csv")
+    first = spark.createDataFrame([("u1", "A", ""), ("u2", "B", "")], "url string, name string, verdict string")
+    assert write_labelled_report(first, path, "url", ("verdict", "notes")) == 2
+    text = open(path, encoding="utf-8-sig", newline="").read()
+    assert text == "url,name,verdict,notes\r\nu1,A,,\r\nu2,B,,\r\n"
+    open(path, "w", encoding="utf-8-sig", newline="").write(text.replace("u2,B,,", 'u2,B,ok,"a\n""b"""'))
+    write_labelled_report(spark.createDataFrame([("u2", "B2"), ("u3", "C")], "url string, name string"), path, "url", ("verdict", "notes"))
+    assert rows(J.csv_rows(spark, path, "url"), "url", "name", "verdict", "notes") == [("u2", "B2", "ok", 'a\n"b"'), ("u3", "C", None, None)]
+
+
+def test_evaluation_refuses_what_is_not_labelled(spark):
+    df = spark.createDataFrame([("good",)] * 27 + [("bad",)] * 3, "v string")
+    assert rows(R.evaluated(df, "v", "good", "bad", 30, 0.9)) == [(30, 27, 0.9, True)]
+    for sample, expected in ((df, 29), (df.limit(29).unionByName(spark.createDataFrame([("",)], "v string")), 30), (df.limit(29).unionByName(spark.createDataFrame([(None,)], "v string")), 30)):
+        with pytest.raises(ValueError):
+            R.evaluated(sample, "v", "good", "bad", expected, 0.9)
+
+
+def test_map_answers_are_refused_whole(spark):
+    good = {"type": "node", "id": 1, "tags": {"shop": "tea"}}
+    bad = [{}, {"elements": {}}, {"elements": [good], "remark": "timeout"}, {"elements": [good, 1]}, {"elements": [good | {"id": True}]}, {"elements": [good | {"id": 0}]}, {"elements": [good | {"tags": {"a": 1}}]}, {"elements": [good | {"type": "area"}]}]
+    payloads = [("g", json.dumps({"elements": [good, good | {"id": 2}]})), ("e", '{"elements":[]}'), ("n", None), ("x", "{")] + [(f"b{i}", json.dumps(b)) for i, b in enumerate(bad)]
+    df = spark.createDataFrame(payloads, "source string, payload string")
+    assert rows(O.payload_elements(df), "source", "ord", "id") == [("g", 0, 1), ("g", 1, 2)]
+    assert [O.payload_fault(p) for _, p in payloads[:6]] == [None, None, "no elements", "unreadable", "no elements", "no elements"]
+
+
+def test_failed_queries_and_ordered_files(spark, tmp_path):
+    from gneiss.operators.search import query_failures
+
+    df = spark.createDataFrame([("a", 0, 200, '{"web":{"results":[]}}'), ("b", 0, 401, None), ("c", 0, 200, '{"web":{}}'), ("c", 1, 500, None), ("d", 0, 200, "{bad"), ("e", 0, None, None)], "query string, page int, status int, payload string")
+    assert rows(query_failures(df)) == [("b", "refused"), ("c", "failed"), ("d", "unreadable"), ("e", "failed")]
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "crawls.json").write_text(json.dumps([{"k": "x", "v": name}]))
+    paths = J.glob_paths(spark, f"{tmp_path}/*/crawls.json")
+    assert [p[-13:-12] for p in paths] == ["a", "b"] and J.glob_paths(spark, f"{tmp_path}/none/*") == []
+    assert rows(J.latest_by_key(J.json_array(spark, paths, "k string, v string"), "k", ["file_ordinal", "pos"]), "v") == [("b",)]
+
+
+def test_forms_come_before_links(spark):
+    pages = spark.createDataFrame([("a", 2, "u2", True, 200, "readable"), ("a", 1, "u1", True, 200, " Readable"), ("a", 3, "u1", True, 200, "readable"), ("a", 4, "u4", False, 200, "readable"), ("a", 5, "u5", True, 404, "readable"), ("b", 1, None, True, 200, "readable")],
+                                  "company string, o int, url string, has_form boolean, status_code int, content_quality string")
+    visits = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 2, ["x", "w"]), ("b", 1, [])], "company string, attempt int, contacts array<string>")
+    assert rows(R.contact_forms(pages, visits, "company", "o"), "company", "position", "url") == [("a", 1, "u1"), ("a", 2, "u2"), ("a", 3, "x"), ("a", 4, "y"), ("a", 5, "w")]
+
+
+def test_market_readings():
+    import re
+
+    from gneiss.functions import evidence as E
+
+    cases = {"Reno NV 89501": "screen audit draft", "made in Oregon": "audit draft", "Portland, or": "draft", "the US": "audit draft", "Q.X": "screen audit draft", "the usa": "", "QxX": ""}
+    for text, want in cases.items():
+        assert [r for r in E.MARKETS if re.search(E.market_pattern(["Q.X"], r), text)] == want.split()
 
 
 def test_targets():
