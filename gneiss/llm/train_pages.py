@@ -1,8 +1,11 @@
 """Trains the page model: ``python -m gneiss.llm.train_pages crawls.parquet``.
 
-Lines of a bounded sample are labelled by what is certain about them: phrases that are boilerplate
-on any site, the shape of sentences and lists, and where a line stands. Gradient-boosted trees
-are fitted to those labels and written beside this module; serving reads only the trees.
+Lines of a bounded sample are labelled by evidence that any crawl holds: on how many hosts a form
+of a line stands, whether it stands among sentences that stand nowhere else, what follows it, its
+shape, and words that sites of any kind use. No phrase of the sample is listed here. Gradient-boosted
+trees are fitted to those labels and written beside this module; serving reads only the trees. A part
+of the pages is learned a second time as if none of their words were known, so that the trees judge
+pages of other corpora by shape, place and neighbours.
 """
 
 from __future__ import annotations
@@ -10,100 +13,218 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from gneiss.llm.boosting import fit
 from gneiss.llm.canonical import Transducer
-from gneiss.llm.pages import KINDS, MODEL_PATH, PageReader
-from gneiss.llm.residue import line_kind
-
-# Entries of menus.
-MENU = (
-    "About us|Home|Recipes|Basket (0)|Our story|Shop|Log in|Contact|Careers|FAQ|Search|News|Products|Stores|Wholesale|Menu|MENU|"
-    "Über uns|Startseite|Rezepte|Warenkorb|Anmelden|Kontakt|Karriere|Suche|Aktuelles|Produkte|Großhandel|Filialen|"
-    "Accueil|À propos|Boutiques|Professionnels|Connexion|Produits|Panier|Actualités|Recherche|"
-    "Inicio|Nosotros|Tiendas|Mayoristas|Carrito|Entrar|Productos|Noticias|Buscar|Contacto|"
-    "ホーム|会社概要|お知らせ|商品一覧|よくある質問|卸売のご案内|店舗情報|採用情報|アクセス|お問い合わせ|カート|ログイン|"
-    "首页|关于我们|新闻|批发|产品中心|联系我们|购物车|登录|搜索|招聘"
-).split("|")
-# Headings of sidebars.
-SIDEBAR = (
-    "You may also like|Related pages|Latest news|Categories|Popular now|Kategorien|Das könnte Sie interessieren|Neuigkeiten|Últimas noticias|"
-    "También le puede gustar|Categorías|Catégories|Dernières nouvelles|Vous aimerez aussi|新着情報|関連ページ|カテゴリー|人気の商品|产品分类|最新消息|相关页面"
-).split("|")
-# Phrases that make a line a prompt, notice, legal or address line.
-PHRASES = re.compile(
-    r"^[☰≡]|^We use cookies|^Cookies help us run|and its partners set cookies|^This site keeps small files|^Your privacy matters:|^Please note: some features|^<noscript>|"
-    r"^Wir verwenden Cookies|^Ihre Privatsphäre ist uns wichtig|^Diese Seite legt kleine Dateien|^Usamos cookies|^Utilizamos cookies propias|^Este sitio guarda pequeños|"
-    r"^(?:Ce site|Nous) (?:utilise|utilisons) des cookies|^Ce site dépose de petits fichiers|^Avec votre accord, nos partenaires|^Su privacidad|^Con su permiso|"
-    r"^(?:当|本)サイトは?.*(?:Cookie|クッキー)を|^閲覧情報を端末に|^本(?:网站|站)使用Cookie|^我们会在您的设备上|^继续浏览|"
-    r"^Follow us on|^Share this page|^Back to top|^Subscribe to our letter|^Sign up for our letter|^Skip to|browser language|^Read more »|^Was this page helpful|^Need help\?|"
-    r"^By sending the form|‹ Prev|^Visa · Bank|takes no liability|^Comments are closed|exclude tax and freight|^Site built by|All [Rr]ights [Rr]eserved|^© \d|^Copyright \d|"
-    r"^Imprint \||^Registered in .* under no\.|Harbour Row, |^Hosted on|^A member page of|– report this page|- report this page|^★ Free delivery|^Deutsch \| English|"
-    r"^Seite teilen|^Nach oben|^Newsletter (?:bestellen|abonnieren)|^Weiterlesen »|^War diese Seite|^Impressum \||, Speicherweg \d|^Für verlinkte Seiten|^Alle Preise verstehen sich|"
-    r"^Compartir esta|^Volver arriba|^Suscríbase|^Leer más »|útil esta página|^Aviso legal|^C/ del Muelle \d|^Los precios no incluyen|no responde de los sitios|"
-    r"^Partager cette|^Haut de page|^S’abonner|^Lire la suite »|^Cette page vous|^Mentions légales|^[\d,]+ quai des Sels|s’entendent hors port|décline toute responsabilité|"
-    r"^この記事をシェア|^ページの先頭へ|^メルマガ登録|^SNSでフォロー|^もっと見る|役に立ちましたか\?|無断転載を禁じます|^営業時間 \d|^〒|^個人情報保護方針\||^メールマガジンに登録|"
-    r"次へ >$|^掲載価格は税抜|^フォーム送信により|^分享本页|^返回顶部|^订阅通讯|^查看更多|对您有帮助吗|^隐私政策\||^版权所有|^地址:|^未经许可,不得|^标价不含运费"
-)
-# Goods that menus list beside their entries.
-GOODS = (
-    "chestnut purée|yuzu marmalade|rice vinegar|barley miso|dried shiitake|matcha powder|smoked trout|hex screws|oat cookies|goat cheese|cocoa nibs|crème caramel cups|"
-    "stainless trays|flat-pack crates|naïve-grain flour|pickled radish|buckwheat noodles|jalapeño relish|sesame crackers|cold-pressed plum oil|"
-    "Pflaumenöl|Nussmüsli|Räucherforelle|Edelstahlschrauben|Honigkörbe|Grüntee|Ziegenkäse|Quittengelee|Hafergebäck|Buchweizennudeln|"
-    "caisses pliées|truite fumée|thé vert|huile de prune|vis en inox|gelée de coing|pâtes de sarrasin|fromage de chèvre|biscuits d’avoine|crème de marrons|"
-    "harina de castaña|aceite de ciruela|mermelada de limón|tornillos de acero|queso de cabra|galletas de avena|fideos de alforfón|té verde|piñones tostados|jalapeños en vinagre|"
-    "米酢|干し椎茸|味噌|ゆずジャム|ごま油|そば粉|ステンレス棚|段ボール箱|ガラス容器|プリンカップ|ドレッシング|焼きクッキー|冷凍うどん|抹茶パウダー|"
-    "米醋|干香菇|荞麦面|燕麦饼干|不锈钢架|纸箱|柚子酱|芝麻油|抹茶粉|冷冻乌冬"
-).split("|")
-_ENTRY = "|".join(re.escape(x) for x in sorted({*MENU, *GOODS}, key=len, reverse=True))
-_MENU_LINE = re.compile(rf"(?:[•\s|/·›»>,-]*(?:{_ENTRY}))+[•\s|/·›»>,-]*")
-_CRUMBS = re.compile(rf"(?:{'|'.join(re.escape(x) for x in MENU)}) [>›»] (?:{'|'.join(re.escape(x) for x in MENU)})(?:\s?[-–|].*)?")
-_STOPPED = re.compile(r"[.!?。！？…][\"»”“」』)）'’\s]*$")
-_LISTED = re.compile(r"\d.*\b(?:g|kg|cases|x|im Glas)\b|\d+(?:g|kg|克|公斤|袋)|^[-•・] ?\S|, (?:carton|caja) de \d|^Fresh .* from |.産の")
-#: Most pages taken for training.
-PAGES = 20_000
+from gneiss.llm.pages import KINDS, MODEL_PATH, SHAPE, PageReader, generic_words
+from gneiss.llm.residue import learn_filler, line_kind
+
+#: Most pages taken for training, by a seeded sample.
+PAGES = 8_000
 #: Tokens kept, by how often they are seen.
 TOKENS = 3_000
+#: Share of pages that are learned again without the words of all, or of half, of their lines.
+UNKNOWN = 0.7
+#: Hosts from which a form is common, and from which it may head a sidebar.
+COMMON, HEADS = 5, 12
+#: Share of neighbours that are sentences of their own, from which a common sentence is text; more where it has words that sites use.
+AMONG, AMONG_GENERIC = 0.25, 0.42
 _KIND = {k: i for i, k in enumerate(KINDS)}
+MAIN = frozenset(("text", "list", "heading"))
 
+_STOPPED = re.compile(r"[.!?。！？…][\"»”“」』)）'’\s]*$").search
+_WIDE = re.compile("[぀-ヿ㐀-鿿]")
+_SEPARATED = re.compile(r"\s*[|·•]\s*|\s+[>›/–-]\s+|\s{2,}")
+_BULLET = re.compile(r"[-•・*–] ?")
+_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_WORD = re.compile(r"\w+")
+_NAMES = re.compile(r"§(?:[ .,&]*(?:§|[A-Z]\w*\.?))*")
+_SENTENCE = re.compile(r".*?[.!?。！？]+[\"»”“」』)）'’]*(?=\s|[^\x00-\x7f]|$)")
 
-def certain(lines: list[str]) -> list[str]:
-    """The kind of each line of a page, in its one form."""
-    out: list[str] = []
-    side = False
-    for line in lines:
-        if not line:
-            kind = "rest"
-        elif line_kind(line):
-            kind = "rest"
-        elif line in SIDEBAR:
-            kind, side = "side", True
-        elif PHRASES.search(line):
-            kind, side = "foot", False
-        elif _MENU_LINE.fullmatch(line) or _CRUMBS.fullmatch(line):
-            kind, side = "menu", False
-        elif _STOPPED.search(line):
-            kind, side = "text", False
-        elif _LISTED.search(line) and not side:
-            kind = "list"
-        else:
-            kind = "teaser" if side else "heading"
-        out.append(kind)
-    return out
 
+def form_of(line: str, host: str) -> str:
+    """A line with numbers as 0 and the words of its host's name as a mark."""
+    bare = re.sub(r"[^a-z0-9]", "", host.lower())
+    line = _NUMBER.sub("0", line)
+    named = lambda m: "§" if len(m[0]) > 3 and (m[0][0].isupper() or "." in line[max(0, m.start() - 1) : m.end() + 1]) and m[0].lower() in bare else m[0]
+    return _NAMES.sub("§", _WORD.sub(named, line))
 
-MAIN = frozenset(("text", "list", "heading"))
 
+class Form:
+    """What a form of a line shows by itself, and on how many hosts it stands."""
+
+    __slots__ = ("hosts", "sentence", "words", "generic", "parts", "bulleted", "bare")
+
+    def __init__(self, form: str, hosts: int):
+        self.hosts = hosts
+        self.bulleted = bool(_BULLET.match(form))
+        self.bare = _BULLET.sub("", form, count=1).strip() if self.bulleted else form
+        parts = [x.strip() for x in _SEPARATED.split(form.strip(" •|>·")) if x.strip()]
+        self.parts = parts
+        self.sentence = bool(_STOPPED(form)) and len(parts) == 1
+        self.words = max(1, len(_WIDE.findall(form)) // 2) if _WIDE.search(form) else len(_WORD.findall(form))
+        found = generic_words(form)
+        self.generic = bool(found) and (not self.sentence or sum(map(len, found)) >= 0.12 * len(form))
+
+    @property
+    def short(self) -> bool:
+        return not self.sentence and self.words <= 14 and len(self.parts) == 1 and not self.generic and not self.bulleted
+
+
+def beside(page: list[str], at: int) -> list[str]:
+    return page[max(0, at - 1) : at] + page[at + 1 : at + 2]
+
+
+class Evidence:
+    """Labels of the lines of a sample: ``pages`` are lists of forms without blank lines and residue."""
+
+    def __init__(self, pages: list[list[str]], hosts: list[str]):
+        on = defaultdict(set)
+        for page, host in zip(pages, hosts):
+            for form in page:
+                on[form].add(host)
+        self.forms = {f: Form(f, len(h)) for f, h in on.items()}
+        self._sentences(pages)
+        self._sidebars(pages)
+        self._entries(pages)
+        self._items(pages)
+
+    def _sentences(self, pages: list[list[str]]) -> None:
+        """Sentences that stand nowhere else are text; common ones are if they stand among such."""
+        forms = self.forms
+        text = {f: x.sentence and x.words >= 4 and x.hosts < COMMON and not x.generic for f, x in forms.items()}
+        for _ in range(2):
+            among = defaultdict(lambda: [0, 0])
+            for page in pages:
+                for at, form in enumerate(page):
+                    near = beside(page, at)
+                    among[form][0] += sum(text[f] for f in near)
+                    among[form][1] += 2
+            share = {f: (a + 1.4) / (n + 4) for f, (a, n) in among.items()}
+            text = {
+                f: x.sentence and (x.words >= 2 and share[f] >= (AMONG_GENERIC if x.generic else AMONG) if x.hosts >= COMMON else x.words >= 4 and not x.generic)
+                for f, x in forms.items()
+            }
+        begins = defaultdict(lambda: [0, 0])  # lines that begin with the same sentence are judged together where they are rare
+        first = {f: (m[0] if (m := _SENTENCE.match(f)) else f) for f, x in forms.items() if x.sentence}
+        for f, s in first.items():
+            begins[s][0] += among[f][0]
+            begins[s][1] += among[f][1]
+        for f, s in first.items():
+            a, n = begins[s]
+            if forms[f].hosts < COMMON and n >= 30 and not 0.2 <= a / n < 0.3:
+                text[f] = a / n >= 0.3
+        self.text = text
 
-def train(texts: list[str]) -> dict:
-    form = Transducer().one_form
-    pages = [[form(x.replace("�", "")) for x in t.split("\n")] for t in texts]
-    kinds = [certain(p) for p in pages]
+    def _sidebars(self, pages: list[list[str]]) -> None:
+        """Common short lines that rarer short lines follow head a sidebar; what stands right below one is a title."""
+        forms, follow = self.forms, defaultdict(lambda: [0, 0])
+        for page in pages:
+            for form, after in zip(page, [*page[1:], None]):
+                x = forms[form]
+                if x.hosts >= HEADS and not x.sentence and not x.bulleted and len(x.parts) == 1 and x.words <= 5:
+                    follow[form][0] += after is not None and forms[after].short and forms[after].hosts * 1.5 < x.hosts
+                    follow[form][1] += 1
+        self.heads = {f for f, (a, n) in follow.items() if 2 * a > n}
+        below, total = Counter(), Counter()
+        for page in pages:
+            total.update(page)
+            below.update(after for form, after in zip(page, page[1:]) if form in self.heads and after not in self.heads)
+        self.titles = {f for f, n in below.items() if n >= 2 and n >= 0.04 * total[f] and not forms[f].sentence}
+
+    def _entries(self, pages: list[list[str]]) -> None:
+        """Parts of lines that separators cut into three or more are entries of menus; so are lines made of them."""
+        seen: Counter[str] = Counter()
+        for page in pages:
+            for form in page:
+                x = self.forms[form]
+                if not x.sentence and len(x.parts) >= 3:
+                    seen.update(set(x.parts))
+        entries = {e for e, n in seen.items() if n >= COMMON and e not in self.titles}
+
+        def covered(words: list[str]) -> bool:
+            at = held = 0
+            while at < len(words):
+                size = next((k for k in range(min(4, len(words) - at), 0, -1) if " ".join(words[at : at + k]).strip(",") in entries), 0)
+                held += size
+                at += size or 1
+            return held >= 0.6 * len(words)
+
+        self.menu = {f for f, x in self.forms.items() if not x.sentence and (all(p in entries for p in x.parts) or x.words <= 14 and covered(x.bare.split(" ")))}
+
+    def _items(self, pages: list[list[str]]) -> None:
+        """Lines with a number that stand beside text, or beside other items, are items of lists."""
+        self.items: set[str] = set()
+        for _ in range(5):
+            near = defaultdict(lambda: [0, 0])
+            for page in pages:
+                for at, form in enumerate(page):
+                    x = self.forms[form]
+                    if "0" in form and not x.sentence and len(x.parts) <= 2 and not x.generic:
+                        near[form][0] += any(self.text[f] or f in self.items for f in beside(page, at))
+                        near[form][1] += 1
+            self.items = {f for f, (a, n) in near.items() if (a + 0.4) / (n + 1) >= 0.34}
+
+    def labels(self, page: list[str]) -> list[str]:
+        """The kind of each line of a page."""
+        forms, kinds = self.forms, []
+        for form in page:
+            x = forms[form]
+            sentence = x.sentence and x.words >= 2
+            kinds.append("short" if not sentence else "text" if self.text[form] else "open" if x.hosts < COMMON else "foot")
+        for at, form in enumerate(page):
+            if kinds[at] == "open":
+                near = kinds[max(0, at - 1) : at] + kinds[at + 1 : at + 2]
+                kinds[at] = "text" if near.count("text") >= (2 if forms[form].generic and len(near) > 1 else 1) else "foot"
+        below = False
+        for at, form in enumerate(page):
+            x = forms[form]
+            if kinds[at] != "short":
+                below = below and kinds[at] == "text"
+            elif form in self.heads:
+                kinds[at], below = "side", True
+            elif form in self.items and not below:
+                kinds[at] = "list"
+            elif below and (form in self.titles or not (x.generic or len(x.parts) > 1 or form in self.menu or x.hosts >= 3 * HEADS)):
+                kinds[at] = "teaser"
+            elif form in self.titles and not x.generic:
+                kinds[at] = "heading"
+            elif x.generic or len(x.parts) > 1 or form in self.menu or x.hosts >= COMMON:
+                kinds[at], below = "menu", False
+            else:
+                kinds[at] = "rare"
+        for at, form in enumerate(page):
+            if kinds[at] == "rare":  # by its neighbours
+                before, after = kinds[at - 1] if at else "", kinds[at + 1] if at + 1 < len(page) else ""
+                kinds[at] = "list" if "list" in (before, after) or forms[form].bulleted and before == "text" else "heading" if after == "text" else "menu"
+        return kinds
+
+
+def label(pages: list[list[str]], hosts: list[str], filler: frozenset[str]) -> list[list[str]]:
+    """The kind of each line of pages in their one form; blank lines and residue are ``rest``."""
+    residue = {line for page in pages for line in page if line and line_kind(line, filler)}
+    kept = [[i for i, line in enumerate(page) if line and line not in residue] for page in pages]
+    forms = [[form_of(page[i], host) for i in at] for page, at, host in zip(pages, kept, hosts)]
+    evidence = Evidence(forms, hosts)
+    out = []
+    for page, at, form in zip(pages, kept, forms):
+        kinds = ["rest"] * len(page)
+        for i, kind in zip(at, evidence.labels(form)):
+            kinds[i] = kind
+        out.append(kinds)
+    return out
+
+
+def train(texts: list[str], hosts: list[str], seed: int = 0) -> dict:
+    one_form = Transducer().one_form
+    pages = [[one_form(x.replace("�", "")) for x in t.split("\n")] for t in texts]
+    filler = learn_filler([line for page in pages for line in page])
+    kinds = label(pages, hosts, filler)
     # Attribute scores: log-odds of a token in each kind of line against all lines, distinct lines counting once.
-    blank = PageReader({"tokens": [], "scores": []})
+    blank = PageReader({"tokens": [], "scores": [], "filler": sorted(filler)})
     counts: dict[str, np.ndarray] = {}
     totals = np.zeros(len(KINDS))
     seen = {(line, k) for p, ks in zip(pages, kinds) for line, k in zip(p, ks)}
@@ -123,44 +244,43 @@ def train(texts: list[str]) -> dict:
     seen_in = np.array([counts[t] for t in kept]) + 0.05
     share = seen_in / (totals + 1)
     scores = np.log(share) - np.log(share.sum(1, keepdims=True))
-    model = {"tokens": kept, "scores": np.round(scores, 2).ravel().tolist()}
+    model = {"tokens": kept, "scores": np.round(scores, 2).ravel().tolist(), "filler": sorted(filler)}
     reader = PageReader(model)
-    page, number, sizes, local = reader.nodes(texts)
-    block = reader.blocks(page, local)
-    lines, blocks = reader.features(page, number, sizes, local, block)
-    y = np.array([k in MAIN for ks in kinds for k in ks], float)
-    yb = np.maximum.reduceat(y, np.flatnonzero(np.diff(block, prepend=-1)))
+    rng = np.random.default_rng(seed)
+    again = np.flatnonzero(rng.random(len(texts)) < UNKNOWN)
+    parts = []
+    for chosen, known in ((np.arange(len(texts)), True), (again, False)):
+        page, number, sizes, local = reader.nodes([texts[i] for i in chosen])
+        if not known:
+            hidden = rng.random(len(page)) < np.where(rng.random(len(chosen)) < 0.6, 1.0, 0.5)[page]
+            local[hidden, SHAPE:] = 0
+        block = reader.blocks(page, local)
+        lines, blocks = reader.features(page, number, sizes, local, block)
+        y = np.array([k in MAIN for i in chosen for k in kinds[i]], float)
+        parts.append((lines, blocks, y, np.maximum.reduceat(y, np.flatnonzero(np.diff(block, prepend=-1)))))
+    lines, blocks, y, yb = (np.concatenate(x) for x in zip(*parts))
     model["lines"] = fit(lines, y, trees=60, depth=4).dump()
     model["blocks"] = fit(blocks, yb, trees=25, depth=4).dump()
     return model
 
 
-def compare(model: dict, texts: list[str]):
-    """Shares of lines found and of found lines that are right, against the certain labels."""
-    form = Transducer().one_form
+def compare(model: dict, pages: list[tuple[str, set[int]]]) -> tuple[float, float]:
+    """Shares of body lines found and of found lines that are right, against pages whose body lines are known."""
     reader = PageReader(model)
-    right = found = wanted = 0
-    wrong: list[tuple[str, bool]] = []
-    for lo in range(0, len(texts), 2000):
-        part = texts[lo : lo + 2000]
-        page, number, _ = reader.main_lines(part)
-        got = set(zip(page.tolist(), number.tolist()))
-        want = {(p, i) for p, t in enumerate(part) for i, k in enumerate(certain([form(x.replace("�", "")) for x in t.split("\n")])) if k in MAIN}
-        right += len(got & want)
-        found += len(got)
-        wanted += len(want)
-        wrong += [(lo + p, i, (p, i) in got) for p, i in sorted(got ^ want)]
-    return right / max(wanted, 1), right / max(found, 1), wrong
-
-
-def main(path: str) -> None:
+    page, number, _ = reader.main_lines([text for text, _ in pages])
+    got = set(zip(page.tolist(), number.tolist()))
+    want = {(i, n) for i, (_, body) in enumerate(pages) for n in body}
+    return len(got & want) / max(len(want), 1), len(got & want) / max(len(got), 1)
+
+
+def main(path: str, seed: int = 0) -> None:
     import pyarrow.parquet as pq
 
-    texts = [t for t in pq.read_table(path, columns=["text"])["text"].to_pylist() if t][:PAGES]
-    held = texts[::5]
-    model = train([t for i, t in enumerate(texts) if i % 5])
-    recall, precision, _ = compare(model, held)
-    print(f"held-out lines: {recall:.4f} found, {precision:.4f} right")
+    table = pq.read_table(path, columns=["host", "text"])
+    rows = [(h or "", t) for h, t in zip(table["host"].to_pylist(), table["text"].to_pylist()) if t]
+    if len(rows) > PAGES:
+        rows = [rows[i] for i in np.sort(np.random.default_rng(seed).choice(len(rows), PAGES, replace=False))]
+    model = train([t for _, t in rows], [h for h, _ in rows], seed)
     with open(MODEL_PATH, "w", encoding="utf-8") as f:
         json.dump(model, f, ensure_ascii=False)
 

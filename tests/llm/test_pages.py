@@ -1,11 +1,14 @@
+import json
+
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 
 from gneiss.llm.boosting import Boosted, fit
-from gneiss.llm.pages import PageReader, decode, main_body, residue_pages
-from gneiss.llm.residue import ERROR, FILLER, NONE, PLACEHOLDER, SCRIPTS, line_kind
-from gneiss.llm.train_pages import compare
+from gneiss.llm.pages import MODEL_PATH, PageReader, decode, main_body, residue_pages
+from gneiss.llm.residue import ERROR, FILLER, NONE, PLACEHOLDER, SCRIPTS, learn_filler, line_kind, spoken_of
+from gneiss.llm.train_pages import MAIN as MAIN_KINDS
+from gneiss.llm.train_pages import compare, label
+from tests.llm.pages_by_hand import CONTENT, RESIDUE, bodies
 
 PAGE = "MENU\n• Recipes\n• Contact\nHome > Log in – Mufa Cafe\nHow we grade oat cookies\nA partner mill near Teruma grades fresh crates by rail. Our cookies are baked at 9 a.m.\n- Rice vinegar, 37 g x 21\nRelated pages\nHow we grade rice vinegar\nOur year with barley miso\nBack to top\nImprint | Privacy | Terms | Sitemap"
 MAIN = [4, 5, 6]
@@ -51,14 +54,39 @@ def test_decoding_is_consistent():
             assert [bool(best >> k & 1) for k in range(len(mine))] == main[mine].tolist()
 
 
-def test_held_out_rows():
-    texts = [t for t in pq.read_table("/root/testdata/sf0.01/crawls.parquet", columns=["text"])["text"].to_pylist() if t]
-    import json
-
-    from gneiss.llm.pages import MODEL_PATH
-
-    recall, precision, _ = compare(json.load(open(MODEL_PATH, encoding="utf-8")), texts)
-    assert recall > 0.995 and precision > 0.995
+def test_pages_written_by_hand():
+    """Pages unlike those of the training: few false lines, most lines found; the figures are in the README."""
+    reader = PageReader.load()
+    recall, precision = compare(json.load(open(MODEL_PATH, encoding="utf-8")), bodies())
+    assert recall > 0.75 and precision > 0.95
+    for pages, cases in ((RESIDUE, len(RESIDUE)), (CONTENT, 1)):
+        page, _, residue = reader.main_lines(pages)
+        assert ((residue > 0) & (np.bincount(page, minlength=len(pages)) == 0)).sum() == cases
+
+
+def test_labels_come_from_repetition_and_neighbours():
+    nav, foot = ["Alpha", "Beta", "Gamma"], "Made by Nobody"
+    pages, hosts = [], []
+    for n in range(60):
+        word = "".join(chr(97 + n * k % 26) for k in (1, 3, 5, 7))
+        pages.append([" | ".join(nav), f"The tale of {word}", f"A {word} lived by the sea with its {word[::-1]}.", f"Nobody knew why the {word} had come there.", "Seen lately", f"The tale of {chr(97 + n % 9)}{n % 9}", foot])
+        hosts.append(f"{word}{n}.example")
+    kinds = label(pages, hosts, frozenset())
+    assert kinds[0][0] == "menu" and kinds[0][2:4] == ["text"] * 2 and kinds[0][-1] not in MAIN_KINDS
+    assert all(k[2] == k[3] == "text" and k[4] not in MAIN_KINDS and k[6] not in MAIN_KINDS for k in kinds)
+
+
+def test_filler_words_are_learned_from_their_company():
+    lines = ["Lorem ipsum " + " ".join(f"{a}{b}um" for b in "xyz") for a in "bcdf" for _ in range(3)] + [f"{a}xum {a}yum {b}zum {b}xum" for a in "bcdf" for b in "bcdf" if a != b]
+    words = learn_filler(lines + ["the cat sat on the lorem mat", "a dog and bxum ran", "cats like dogs and more"])
+    assert {"cyum", "fzum"} <= words and not words & {"cat", "dog", "the", "and"}
+    assert line_kind("Cyum fzum cxum dyum.", words) == FILLER and line_kind("Cyum fzum cxum dyum.") == NONE
+
+
+def test_placeholders_that_a_page_only_shows():
+    lines = ["How merge fields work", "A variable in braces is replaced by the value when the page is shown.", "{{ name }}", "```", "[[city]]", "```", "The same holds for the town, as the next example of the syntax shows."]
+    assert spoken_of(lines, [line_kind(x) for x in lines]) == [2, 4]
+    assert spoken_of(["{{ a }}", "{{ b }}"], [PLACEHOLDER] * 2) == []
 
 
 def test_operators(spark):
