@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.canonical import one_form, quotes_on_pages
+from gneiss.llm.canonical import compiled_mapping, one_form, quotes_on_pages
 from gneiss.session import table
 
 
@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quote in its one form."""
-    return table(spark, sf_dir, "audit").select("audit_id", one_form(F.col("evidence_text_original")).alias("form"))
+    return table(spark, sf_dir, "audit").select("audit_id", one_form(F.col("evidence_text_original"), compiled_mapping(spark)).alias("form"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_quotes": p2_quotes}
