@@ -35,6 +35,11 @@ SPEECH = re.compile(
     r"\b(?:asked|said|called|cried|reads?|replied|fragte|sagte|rief|demanda|dit|cria|preguntó|dijo|gritó)\b|[问問答喊说說]道|と|라고|이라고|ने कहा"
 )
 
+#: What the features see: characters before a mark, after a boundary, and of the clause after a quotation. They are features of
+#: the model, fitted with these sizes, not limits of the text: tokens are cut to 14 characters anyway, and a clause of speech
+#: that has no word of speech in its first 60 characters counts as one without.
+BEFORE, AFTER, CLAUSE = 24, 48, 60
+
 _BLANK = re.compile(r"(?>\r\n|\n|\r)(?:[^\S\r\n]*(?>\r\n|\n|\r))+")
 _MARKER = re.compile(r"\s*(?:[-*•・‣▪◦–—]\s+|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)、．）]\s+|[①-⑳]\s*)")
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if c not in (0xFF08, 0xFF09, 0xFF3B, 0xFF3D, 0xFF01, 0xFF1F)}
@@ -124,7 +129,7 @@ def fold(text: str) -> str:
 
 def _before(text: str, lo: int, at: int) -> str:
     """The token that ends at a mark."""
-    token = _TAIL.search(text, max(lo, at - 24), at)[0].lstrip(_OPENERS)
+    token = _TAIL.search(text, max(lo, at - BEFORE), at)[0].lstrip(_OPENERS)
     if _UNSPACED.search(token[-1:]):
         return token[-2:]
     return _DIGITS.sub("0", _STUCK.sub("", token))[-14:]
@@ -132,7 +137,7 @@ def _before(text: str, lo: int, at: int) -> str:
 
 def _after(text: str, at: int, hi: int) -> tuple[str, str]:
     """The next tokens: words, or the first characters of a script without spaces."""
-    m = _HEAD.match(text, at, min(hi, at + 48))
+    m = _HEAD.match(text, at, min(hi, at + AFTER))
     first, second = m[1] or "", m[2] or ""
     bare = first.lstrip(_OPENERS)
     opener = first[: len(first) - len(bare)][:1]
@@ -207,7 +212,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
                 continue  # a pause
         after, second = _after(text, end, hi)
         if quote:
-            clause = re.match(r"[^.!?。！？،,，：:]*", text[end : end + 60])[0]
+            clause = re.match(r"[^.!?。！？،,，：:]*", text[end : end + CLAUSE])[0]
             speech = bool(SPEECH.search(clause)) and text[end + len(clause) : end + len(clause) + 1] not in (":", "：")
         shape = mark if len(mark) == 1 else "..." if set(mark) <= {".", "…"} else mark[-1] + "+"
         found.append(Candidate(end, shape, before, after, second, spaced, quote, speech, cased))

@@ -53,3 +53,10 @@ def test_operator(spark):
     got = sorted((r.doc_id or -1, r.start_char, r.end_char) for r in split_sentences(df, "doc_id", "text").collect())
     assert got[0] == (-1, 0, 1) and got[1:] and got[1::2] == got[2::2]
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_tokens_are_judged_like_short_ones():
+    cut = SentenceModel.load()
+    for word in ("harbour", "h" * 500 + "arbour"):
+        text = f"We sailed to the {word}. The others waited there. They had tea at {'x' * 300}. It was late."
+        assert [text[a:b].split()[0] for a, b in cut.units(text)] == ["We", "The", "They", "It"]
