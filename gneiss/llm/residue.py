@@ -78,7 +78,7 @@ _AFTER = (
     r"slow down|we are sorry[^.!?]*|sorry|oops|thank you|ref: ?[\w\-]+|reference:? ?[\w\-]+|please wait"
 )
 _ERRORS = re.compile(
-    rf"(?:(?:error|http|code|status)? ?[45]\d\d\b ?[-–:]? ?)?{_THING} (?:{_FAILS}{_TAIL}|{_DOWN})|{_AFTER}|(?:error|erreur|fehler|エラー|错误|http)[ :#]*[45]\d\d(?: ?[-–:：] ?[^.!?。]*)?|[45]\d\d(?: ?[-–:] ?)?(?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway time-?out)|"
+    rf"(?:(?:error|http|code|status)? ?[45]\d\d\b ?[-–:]? ?)?{_THING} (?:{_FAILS}{_TAIL}|{_DOWN})|{_AFTER}|(?:error|erreur|fehler|エラー|错误|http)[ :#]*[45]\d\d(?: ?[-–:：] ?[^.!?。]*)?|[45]\d\d ?[-–:]? ?(?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway time-?out)|"
     r"\S+/[\d.]+ (?:gateway time-?out|bad gateway|not found)|(?:fatal |parse |internal )?(?:server )?error: [^!?]*|fatal error|internal server error|database connection failed|(?:bad|gateway|connection) (?:gateway|time-?out|refused|reset)|not found|access (?:denied|forbidden|to this resource was refused by the server)|"
     r"too many requests(?: ?[-–] ?slow down)?|service (?:temporarily )?unavailable|(?:sorry, )?nothing was found here|that address does not lead anywhere|we are down for maintenance[^!?]*|we will be back[^!?]*|"
     r"(?:wegen wartung|zurzeit|derzeit)[^.!?]*nicht erreichbar|seite nicht gefunden|die seite (?:wurde|existiert|ist)[^.!?]*|zugriff verweigert|page introuvable|accès refusé|site en maintenance[^.!?]*|revenez plus tard|"

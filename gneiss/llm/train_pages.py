@@ -31,7 +31,7 @@ UNKNOWN = 0.7
 #: Hosts from which a form is common, and from which it may head a sidebar.
 COMMON, HEADS = 5, 12
 #: Share of neighbours that are sentences of their own, from which a common sentence is text; more where it has words that sites use.
-AMONG, AMONG_GENERIC = 0.25, 0.42
+AMONG, AMONG_GENERIC = 0.31, 0.42
 _KIND = {k: i for i, k in enumerate(KINDS)}
 MAIN = frozenset(("text", "list", "heading"))
 
@@ -166,7 +166,7 @@ class Evidence:
                     if "0" in form and not x.sentence and len(x.parts) <= 2 and not x.generic:
                         near[form][0] += any(self.text[f] or f in self.items for f in beside(page, at))
                         near[form][1] += 1
-            self.items = {f for f, (a, n) in near.items() if (a + 0.4) / (n + 1) >= 0.34}
+            self.items = {f for f, (a, n) in near.items() if (a + 0.4) / (n + 1) >= (0.34 if self.forms[f].bulleted else 0.5)}
 
     def labels(self, page: list[str]) -> list[str]:
         """The kind of each line of a page."""
