@@ -256,7 +256,7 @@ class History:
         self.kind = rows.schema["id"].dataType.simpleString()
         run = self._write(by_batch.groupBy("key").agg(F.min("first_id").alias("first_id")), rows.count(), 0)
         mine = self.read([f[0] for f in run["files"]])
-        before = self.around(mine).cache() if self.runs and run["files"] else None
+        before = cut_lineage(self.around(mine)) if self.runs and run["files"] else None
         arrived = windows_by_batch(by_batch, before)
         everything = mine.select("key", "first_id") if before is None else mine.select("key", "first_id").unionByName(before.select("key", "first_id")).groupBy("key").agg(F.min("first_id").alias("first_id"))
         now = windows_by_batch(everything.withColumn("batch", F.lit(0)), None).select("key", F.col("first_id").alias("now"))
@@ -266,8 +266,6 @@ class History:
             changed = changed.union(before.join(was, "root").join(now, "key").where("was <> now OR NOT had").select("key"))
         found = rows.join(arrived, ["key", "batch"]).select("id", "key", "first_id", F.lit(True).alias("row"))
         both = cut_lineage(found.unionByName(changed.distinct().select(F.lit(None).cast(self.kind).alias("id"), "key", F.lit(None).cast(self.kind).alias("first_id"), F.lit(False).alias("row"))))
-        if before is not None:
-            before.unpersist()
         if run["files"]:
             self._publish([*self.runs, run])
             self._compact()
@@ -298,14 +296,18 @@ class History:
         self.pointer.remove(self.folder)
 
 
+#: Rows that are admitted in one go where many batches arrive at once: an admission costs some seconds whatever its size.
+ROWS_AT_ONCE = 50_000
+
+
 def duplicates(
-    df: DataFrame, shared_hosts: DataFrame, id_col: str = "candidate_id", url_col: str = "url", domain_col: str = "domain", batch: Column | None = None, at_once: int = 128, history: History | None = None, settled: bool = True
+    df: DataFrame, shared_hosts: DataFrame, id_col: str = "candidate_id", url_col: str = "url", domain_col: str = "domain", batch: Column | None = None, at_once: int = ROWS_AT_ONCE, history: History | None = None, settled: bool = True
 ) -> DataFrame:
     """``first_id`` and ``id_col`` of each row whose company has a row with a smaller id.
 
-    Rows are admitted to ``history`` (a new one, removed at the end, if none is given) batch by batch, ``at_once``
-    consecutive values of ``batch`` in one go; rows without a batch come first, and without ``batch`` all rows are
-    one batch. The rows don't depend on ``at_once``. ``settled`` gives first ids as they are after the last batch,
+    Rows are admitted to ``history`` (a new one, removed at the end, if none is given) batch by batch, as many
+    consecutive values of ``batch`` in one go as hold ``at_once`` rows with the last of them; rows without a batch come
+    first, and without ``batch`` all rows are one batch. The rows don't depend on ``at_once``. ``settled`` gives first ids as they are after the last batch,
     else as they were at each row's own.
 
     Rows without a usable url and domain, and rows without id, are no case; rows repeated with one id are not
@@ -316,8 +318,13 @@ def duplicates(
     own = history or History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
     order = F.lit(0) if batch is None else F.coalesce(batch.cast("long"), F.lit(-(2**63)))
     rows = cut_lineage(keyed_rows(df, shared_hosts, id_col, url_col, domain_col, order))
-    numbers = [r[0] for r in rows.select("batch").distinct().orderBy("batch").collect()]  # one number a batch
-    admitted = [own.admit(rows.where(F.col("batch").between(numbers[at], numbers[at : at + at_once][-1]))) for at in range(0, len(numbers), at_once)]
+    sizes = rows.groupBy("batch").count().orderBy("batch").collect()  # one row a batch
+    admitted, low, held = [], None, 0
+    for n, (number, size) in enumerate(sizes):
+        low, held = number if low is None else low, held + size
+        if held >= at_once or n + 1 == len(sizes):
+            admitted.append(own.admit(rows.where(F.col("batch").between(low, number))))
+            low, held = None, 0
     if not admitted:
         return rows.select(F.col("id").alias("first_id"), F.col("id").alias(id_col)).limit(0)
     found = reduce(DataFrame.unionByName, [a for a, _ in admitted])
