@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +35,8 @@ LETTER_LANGS = ("ja", "zh")
 HELD_CHARS = 4 << 20
 #: What a row counts besides its text.
 ROW_CHARS = 64
+#: Most names of a larger item table that are held in each worker, at 8 bytes each; more are joined by shuffle.
+NAMES_HELD = 8_000_000
 # Tokens that count as units.
 UNITS = frozenset("mg g kg t mm cm m km l ml cl s min h kwh percent".split())
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -163,9 +166,9 @@ class Side:
         return tuple([t for t in tokens if self.code(t) < 16])
 
     def code(self, token: str) -> int:
-        """Code of a token, 0 if no item has it; numbers are never unknown, and are not remembered."""
+        """Code of a token, 0 if no item has it; numbers and units are never unknown, and numbers are not remembered."""
         found = self.codes.get(token)
-        return found if found is not None else NUMBER if token.isdecimal() else 0
+        return found if found is not None else NUMBER if token.isdecimal() else UNIT if token in UNITS else 0
 
     def matches(self, docs: list[list[str]]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
         """Document, template hash and the document's own slots, of each window whose template an item has."""
@@ -283,55 +286,126 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[df.schema[column].dataType.simpleString()]
 
 
-def _window_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str | None, held=None) -> DataFrame:
-    """``of, template, slots, pattern``: distinct windows of each text, as hashes; slots are 0 where a window has none.
+def word_hash(token: str) -> int:
+    """Hash of a token whether it is a name, a unit or neither; a number counts as one."""
+    return NUMBER if token.isdecimal() else xxhash.xxh64_intdigest(token) | 16
 
-    With a filter ``held`` only windows whose template passes it are looked at further.
+
+_UNIT_HASHES = np.sort(np.array([word_hash(u) for u in UNITS], np.uint64))
+
+
+def _is_in(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _hashes(seq: list[str], cache: dict[str, int]) -> np.ndarray:
+    """``word_hash`` of each token; the cache starts anew beyond a million tokens."""
+    if len(cache) > 1_000_000:
+        cache.clear()
+    for t in seq:
+        if t not in cache:
+            cache[t] = word_hash(t)
+    return np.array([cache[t] for t in seq], np.uint64)
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
+    """``id, text, body`` of the rows with a text, and ``lang`` if one is named; ``body`` is a hash of the text."""
+    kept = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"), *([F.col(lang_col).alias("lang")] if lang_col else []))
+    return kept.where("text <> ''")
+
+
+def _name_rows(texts: DataFrame) -> DataFrame:
+    """``name``: hashes of the distinct names of the texts that are compared by words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                pairs = zip(part.column("text").to_pylist(), part.column("lang").to_pylist())
+                names = set().union(*(names_of(tokens.plain(text)) for text, lang in pairs if not by_letters(text, lang)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([word_hash(t) for t in names], np.uint64).view(np.int64))], ["name"])
+
+    return texts.select("text", "lang").mapInArrow(run, "name bigint").distinct()
+
+
+def _with_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``texts`` with ``names``, the hashes of those of its words that are names, by shuffle: for any number of names."""
+    held = _bit_filter(names, "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        cache: dict[str, int] = {}
+        for batch in batches:
+            for part in by_bytes(batch, "text", 1 << 20):
+                bits = np.frombuffer(held.value, np.uint8)
+                found = [np.unique(_hashes(tokens.words(text), cache)) for text in part.column("text").to_pylist()]
+                found = [x[_passes(bits, x)] for x in found]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                words = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("body").take(owner), part.column("other").take(owner), pa.array(words)], ["body", "other", "name"])
+
+    keyed = texts.withColumn("other", F.xxhash64(F.lit(1), "text"))
+    words = keyed.select("body", "other", "text").mapInArrow(run, "body bigint, other bigint, name bigint")
+    found = words.join(names, "name", "left_semi").groupBy("body", "other").agg(F.collect_set("name").alias("names"))
+    return keyed.join(found, ["body", "other"], "left").select(*texts.columns, "names")
+
+
+def _window_rows(texts: DataFrame, held=None, names=None) -> DataFrame:
+    """``of, body, template, slots, pattern, times``: distinct windows of each text, as hashes; slots are 0 where a window has none.
+
+    ``times`` is how often the text has the window. With a filter ``held`` only windows whose template passes it are looked at
+    further. Words are names if their hashes are in the broadcast array ``names`` or in the column of that name. With a column
+    ``lang`` a text is cut in one way, without it in both.
     """
+    by_lang, own_names = "lang" in texts.columns, "names" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, none = Tokens(), frozenset()
+        tokens, none = Tokens(), np.zeros(0, np.uint64)
+        known = names.value if names is not None else none
         cache: dict[str, int] = {}
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 20):
                 owner: list[int] = []
-                rows: list[tuple[int, int, int]] = []
-                for d, (text, lang) in enumerate(zip(part.column("text").to_pylist(), part.column("lang").to_pylist())):
-                    if not text:
-                        continue
+                rows: list[tuple[int, int, int, int]] = []
+                langs = part.column("lang").to_pylist() if by_lang else [None] * len(part)
+                for d, (text, lang) in enumerate(zip(part.column("text").to_pylist(), langs)):
                     words = tokens.words(text)
-                    sides = (by_letters(text, lang),) if lang_col else (False, True) if _UNSPACED.search(text) else (False,)
+                    if own_names:
+                        mine = part.column("names")[d].values
+                        known = none if mine is None else np.sort(mine.to_numpy().view(np.uint64))
+                    sides = (by_letters(text, lang),) if by_lang else (False, True) if _UNSPACED.search(text) else (False,)
                     for letters in sides:
                         seq = list("".join(words)) if letters else words
                         n = LETTERS if letters else WORDS
-                        if len(cache) > 1_000_000:
-                            cache = {}
-                        for t in seq:
-                            if t not in cache:
-                                cache[t] = token_code(t, none)
-                        codes = [cache[t] for t in seq]
-                        hashes = window_hashes(np.array(codes, np.uint64), n)
+                        coded = _hashes(seq, cache)
+                        is_name = _is_in(none if letters else known, coded)
+                        coded[_is_in(_UNIT_HASHES, coded)] = UNIT
+                        coded[is_name] = NAME
+                        codes = coded.tolist()
+                        hashes = window_hashes(coded, n)
                         at = np.arange(len(hashes)) if held is None else np.flatnonzero(_passes(np.frombuffer(held.value, np.uint8), hashes))
-                        seen = set()
+                        seen: Counter[tuple[int, int, int]] = Counter()
                         for k, h in zip(at.tolist(), hashes[at].tolist()):
                             slots = tuple([t for t, c in zip(seq[k : k + n], codes[k : k + n]) if c < 16])
-                            seen.add((h, slots_hash(slots) if slots else 0, xxhash.xxh64_intdigest(repr(slot_pattern(slots))) if slots else 0))
+                            seen[h, slots_hash(slots) if slots else 0, xxhash.xxh64_intdigest(repr(slot_pattern(slots))) if slots else 0] += 1
                         owner += [d] * len(seen)
-                        rows += seen
-                columns = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner, pa.int64())), *(pa.array(columns[:, i]) for i in range(3))], ["of", "template", "slots", "pattern"])
+                        rows += [(*window, times) for window, times in seen.items()]
+                at = pa.array(owner, pa.int64())
+                columns = np.array(rows, np.uint64).reshape(-1, 4).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("body").take(at), *(pa.array(columns[:, i]) for i in range(4))], ["of", "body", "template", "slots", "pattern", "times"])
 
-    lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
-    return source.mapInArrow(run, f"of {df.schema[id_col].dataType.simpleString()}, template bigint, slots bigint, pattern bigint")
+    return texts.mapInArrow(run, f"of {texts.schema['id'].dataType.simpleString()}, body bigint, template bigint, slots bigint, pattern bigint, times bigint")
 
 
-#: Bits of the filter that holds the templates of the items, as a power of two: 16 MB for each task that reads it.
+#: Bits of a filter that holds the templates or the names of the items, as a power of two: 16 MB for each task that reads it.
 FILTER_BITS = 27
 
 
 def _places(values: np.ndarray) -> Iterator[np.ndarray]:
-    """The two bits that stand for each template."""
+    """The two bits that stand for each value."""
     for factor in (1, 0xC2B2AE3D27D4EB4F):
         yield ((values * np.uint64(factor)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -343,8 +417,8 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return good
 
 
-def _template_filter(templates: DataFrame):
-    """Broadcast filter of 2**FILTER_BITS bits that every one of ``templates`` passes, or-ed together from one filter a part."""
+def _bit_filter(df: DataFrame, column: str):
+    """Broadcast filter of 2**FILTER_BITS bits that every value of ``column`` passes, or-ed together from one filter a part."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -360,9 +434,9 @@ def _template_filter(templates: DataFrame):
                 bits |= np.frombuffer(x, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
-    parts = templates.repartition(16, "template").select("template").mapInArrow(part, "bits binary")
+    parts = df.select(column).repartition(16, column).mapInArrow(part, "bits binary")
     whole = parts.repartition(1).mapInArrow(merged, "bits binary").first()  # sixteen filters of fixed size
-    return templates.sparkSession.sparkContext.broadcast(whole[0])
+    return df.sparkSession.sparkContext.broadcast(whole[0])
 
 
 def find_leaks_by_join(docs: DataFrame, items: DataFrame, doc_col: str, item_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -371,9 +445,37 @@ def find_leaks_by_join(docs: DataFrame, items: DataFrame, doc_col: str, item_col
     Windows of documents whose template no item has are left out before the shuffle by a filter of fixed size. Items that share
     a window are met once for each document that has it, and a window of many documents is split by AQE's skew join.
     """
-    right = cut_lineage(_window_rows(items, item_col, text_col, lang_col).select(F.col("of").alias(item_col), "template", "slots"))
-    left = _window_rows(docs, doc_col, text_col, None, _template_filter(right)).select(F.col("of").alias(doc_col), "template", "slots")
-    return left.join(right, ["template", "slots"]).select(doc_col, item_col).distinct()
+    right = cut_lineage(_window_rows(_texts(items, item_col, text_col, lang_col)).select(F.col("of").alias("item"), "template", "slots"))
+    texts = _texts(docs, doc_col, text_col)
+    left = _window_rows(texts, _bit_filter(right, "template")).select("of", "body", "template", "slots")
+    found = left.join(right, ["template", "slots"]).select("of", "body", "item").distinct()
+    return _each_copy(found, texts).select(F.col("of").alias(doc_col), F.col("item").alias(item_col))
+
+
+def _each_copy(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each row of ``found`` (``of, body, ...``) once for each row of ``texts`` with its id and text; ``copies`` is their number."""
+    copies = texts.groupBy("id", F.col("body").alias("its_body")).agg(F.count("*").cast("int").alias("copies")).where("copies > 1")
+    whole = found.join(copies, F.col("of").eqNullSafe(F.col("id")) & (F.col("body") == F.col("its_body")), "left").drop("id", "its_body")
+    return whole.withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+
+
+def find_variants_by_join(docs: DataFrame, items: DataFrame, doc_col: str, item_col: str, text_col: str, lang_col: str, names_held: int = NAMES_HELD) -> DataFrame:
+    """As ``find_variants`` for item tables of any size: windows joined by shuffle on template and slot pattern.
+
+    Up to ``names_held`` names are held in every worker as a sorted array of hashes; more are found by joining the words of each text.
+    """
+    asked, texts = _texts(items, item_col, text_col, lang_col), _texts(docs, doc_col, text_col)
+    names = cut_lineage(_name_rows(asked))
+    held = None
+    if names.count() <= names_held:
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(names.toArrow().column("name").to_numpy().view(np.uint64)))  # at most names_held
+    right = _window_rows(asked if held else _with_names(asked, names), None, held).where("pattern <> 0")
+    right = cut_lineage(right.groupBy("template", "pattern", "slots").agg(F.min("of").alias("item")))
+    left = _window_rows(texts if held else _with_names(texts, names), _bit_filter(right, "template"), held).where("pattern <> 0")
+    alike = left.join(right.groupBy("template", "pattern").agg(F.min("item").alias("item")), ["template", "pattern"])
+    other = alike.join(right.select("template", "slots"), ["template", "slots"], "left_anti")
+    found = other.groupBy("of", "body").agg(F.sum("times").alias("windows"), F.countDistinct("item").cast("int").alias("items"))
+    return _each_copy(found, texts).select(F.col("of").alias(doc_col), F.expr("int(windows div copies)").alias("windows"), "items")
 
 
 def find_variants(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", lang_col: str = "lang", held_chars: int = HELD_CHARS) -> DataFrame:
@@ -382,15 +484,11 @@ def find_variants(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", it
     ``windows`` counts the windows that fit an item's template with consistent, different slots, ``items`` the
     different items that stand for them (the smallest id of each set of equal templates). One row per document
     with such a window; nulls and empty tables give none. Items beyond ``held_chars`` characters are joined by
-    shuffle; there names are no placeholders and windows of a document that are equal count once.
+    shuffle (``find_variants_by_join``), with the same rows.
     """
     kept = _items(items, item_col, text_col, lang_col)
     if (kept.agg(F.sum(F.length("text") + ROW_CHARS)).first()[0] or 0) > held_chars:
-        right = cut_lineage(_window_rows(items, item_col, text_col, lang_col).where("pattern <> 0"))
-        left = _window_rows(docs, doc_col, text_col, None, _template_filter(right)).where("pattern <> 0")
-        alike = left.join(right.groupBy("template", "pattern").agg(F.min("of").alias("item")), ["template", "pattern"])
-        other = alike.join(right.select("template", "slots").distinct(), ["template", "slots"], "left_anti")
-        return other.groupBy(F.col("of").alias(doc_col)).agg(F.count("*").cast("int").alias("windows"), F.countDistinct("item").cast("int").alias("items"))
+        return find_variants_by_join(docs, items, doc_col, item_col, text_col, lang_col)
     held = docs.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in kept.collect()]))  # at most held_chars characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

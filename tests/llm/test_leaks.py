@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gneiss.llm.leaks import ItemIndex, Tokens, find_leaks, find_leaks_by_join, find_variants
+from gneiss.llm.leaks import ItemIndex, Tokens, find_leaks, find_leaks_by_join, find_variants, find_variants_by_join
 
 EN = "Meanwhile 841 drovers of Danquay argue that amber anchors outweigh 786 scarlet beehives before the 12 grocers of Ixmere close."
 JA = "渡し守は提灯を874列に並べ、銀のものから先に運び出す。では砂見岬の鍛冶師が得る藍色の太鼓は何個になるか？"
@@ -83,6 +83,45 @@ def test_variants_agree_with_their_join(spark):
     assert held == joined and 5 < len(held) < 40
 
 
+def test_variants_do_not_depend_on_the_size_of_the_items(spark):
+    gift = "the grocer Adam gives the clerk Berta five pears and some plums before noon on this day"
+    meeting = "later the clerk Clara met the grocer Adam at 5 kg per box near the old mill by the river"
+    items = [(1, "en", gift), (2, "en", meeting), (2, "en", gift), (4, "ja", JA), (5, None, JA), (6, "en", None), (7, "en", "of Kg"), (8, "en", "")]
+    named = gift.replace("Adam", "Clara").replace("Berta", "Adam")
+    texts = [named, f"{named}. {named}", meeting.replace("5 kg", "5 ml"), meeting.replace("5 kg", "5 of"), meeting.replace("5", "6"), gift, JA.replace("874", "21"), f"{named} {JA.replace('874', '5')}", None, "", "Clara " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, named), (0, meeting.replace("5", "6")), (None, named)], "doc_id bigint, text string").repartition(3)
+    frame = spark.createDataFrame(items, "item_id bigint, lang string, text string")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    held, joined = (sorted(find_variants(docs, frame, held_chars=n).collect(), key=key) for n in (1 << 20, 1))
+    shuffled = sorted(find_variants_by_join(docs, frame, "doc_id", "item_id", "text", "lang", names_held=0).collect(), key=key)
+    assert held == joined == shuffled
+    assert [key(r) for r in held if r[0] in (None, 0, 1)] == [(-1, 6, 1), (0, 6, 1), (0, 6, 1), (0, 9, 1), (1, 12, 1)] and {r[0] for r in held} == {None, 0, 1, 4, 6, 7}
+    assert not find_variants(docs, frame.limit(0), held_chars=-1).count() and not find_variants(docs.limit(0), frame, held_chars=1).count()
+    assert not find_variants_by_join(docs, frame.limit(0), "doc_id", "item_id", "text", "lang", names_held=-1).count()
+
+
+def test_random_variants_agree_with_their_joins(spark):
+    rng = random.Random(11)
+    vocabulary = "a b Adam Berta Clara kg km 1 2 adam c".split()
+    items = [(i % 25, "en", " ".join(rng.choice(vocabulary) for _ in range(24))) for i in range(30)]
+    texts = []
+    for _ in range(150):
+        other = dict(zip(["Adam", "Berta", "kg", "1"], rng.choice([["Berta", "Adam", "km", "3"], ["Clara", "Berta", "g", "1"], ["Adam", "Berta", "kg", "2"]])))
+        texts.append(" ".join(other.get(w, w) if rng.random() < 0.99 else "b" for w in rng.choice(items)[2].split() * 2))
+    docs = spark.createDataFrame([(i % 140, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    frame = spark.createDataFrame(items, "item_id bigint, lang string, text string")
+    columns = ("doc_id", "item_id", "text", "lang")
+    found = [sorted(tuple(r) for r in df.collect()) for df in (find_variants(docs, frame), *(find_variants_by_join(docs, frame, *columns, names_held=n) for n in (10, 0)))]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
+def test_copies_of_a_document_each_give_their_rows(spark):
+    docs = spark.createDataFrame([(1, EN), (1, EN), (1, JA), (None, EN), (None, EN)], "doc_id bigint, text string")
+    frame = spark.createDataFrame(ITEMS + [ITEMS[0]], "item_id bigint, lang string, text string")
+    held, joined = (sorted((r[0] or 0, r[1]) for r in find_leaks(docs, frame, held_chars=n).collect()) for n in (1 << 20, 1))
+    assert held == joined and len(held) == 9
+
+
 def test_numbers_of_a_corpus_are_not_remembered():
     index = ItemIndex(ITEMS)
     size = len(index.sides[False].codes)
