@@ -36,7 +36,9 @@ HELD_CHARS = 4 << 20
 #: What a row counts besides its text.
 ROW_CHARS = 64
 #: Most names of a larger item table that are held in each worker, at 8 bytes each; more are joined by shuffle.
-NAMES_HELD = 8_000_000
+NAMES_HELD = 2_000_000
+#: Most tokens whose hashes a worker of the shuffle join remembers.
+CACHED = 250_000
 # Tokens that count as units.
 UNITS = frozenset("mg g kg t mm cm m km l ml cl s min h kwh percent".split())
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -302,8 +304,8 @@ def _is_in(known: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _hashes(seq: list[str], cache: dict[str, int]) -> np.ndarray:
-    """``word_hash`` of each token; the cache starts anew beyond a million tokens."""
-    if len(cache) > 1_000_000:
+    """``word_hash`` of each token; the cache starts anew beyond ``CACHED`` tokens."""
+    if len(cache) > CACHED:
         cache.clear()
     for t in seq:
         if t not in cache:
